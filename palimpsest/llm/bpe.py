@@ -80,16 +80,19 @@ class Codec:
         self.known: dict[str, bytes] = {}
 
     def encode(self, text: str) -> np.ndarray:
-        words, known = self.split(text), self.known
-        new = list(set(words).difference(known))
+        return self.encode_many([text])[0]
+
+    def encode_many(self, texts: list[str]) -> list[np.ndarray]:
+        split, known = [self.split(t) for t in texts], self.known
+        new = list(set().union(*split).difference(known))
         if new:
             if len(known) + len(new) > CACHE:
                 known = self.known = {}
-                new = list(set(words))
+                new = list(set().union(*split))
             mapped = [w.encode().decode("latin-1").translate(self.to_letters) for w in new]
             for w, ids in zip(new, self.sp.encode(mapped, num_threads=1), strict=True):
                 known[w] = array("i", ids).tobytes()
-        return np.frombuffer(b"".join(map(known.__getitem__, words)), np.int32)
+        return [np.frombuffer(b"".join(map(known.__getitem__, words)), np.int32) for words in split]
 
     def decode(self, ids: np.ndarray) -> str:
         return b"".join(map(self.bytes.__getitem__, ids.tolist())).decode("utf-8", "replace")
@@ -110,11 +113,18 @@ def tokenize(docs: DataFrame, vocabulary: str = VOCABULARY, pattern: str = PATTE
         codec = Codec(model.value, pattern)
         for texts in batches:
             starts, flat, back = [0], [], []
-            for t in texts.to_pylist():
-                ids = codec.encode(t or "")
-                back.append(None if t is None else codec.decode(ids) == t)
-                flat.append(ids)
-                starts.append(starts[-1] + len(ids))
+            texts = texts.to_pylist()
+            a = 0
+            while a < len(texts):  # runs of about a million characters
+                b, n = a, 0
+                while b < len(texts) and (b == a or n < 1_000_000):
+                    n += len(texts[b] or "")
+                    b += 1
+                for t, ids in zip(texts[a:b], codec.encode_many([t or "" for t in texts[a:b]]), strict=True):
+                    back.append(None if t is None else codec.decode(ids) == t)
+                    flat.append(ids)
+                    starts.append(starts[-1] + len(ids))
+                a = b
             null = pa.array([t is None for t in back])
             lists = pa.ListArray.from_arrays(pa.array(starts, pa.int32()), pa.array(np.concatenate(flat) if flat else np.zeros(0, np.int32)), mask=null if len(null) else None)
             sizes = pa.array([None if t is None else n for t, n in zip(back, np.diff(starts).tolist(), strict=True)], pa.int32())
