@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, capture_index, jaccard, langid, mixing, near_vectors, sharding, topk
+from . import bpe, capture_index, jaccard, langid, mixing, near_vectors, pii, sharding, topk
 
 QUERIES = {
     "op1_capture_index": capture_index.op1_capture_index,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_bpe": bpe.op3_bpe,
     "op4_embedding_neardup": near_vectors.op4_embedding_neardup,
     "op5_jaccard_join": jaccard.op5_jaccard_join,
+    "op6_pii": pii.op6_pii,
     "op7_language_id": langid.op7_language_id,
     "op9_topk": topk.op9_topk,
     "op10_mixing": mixing.op10_mixing,
