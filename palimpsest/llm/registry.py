@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, capture_index, jaccard, langid, mixing, near_vectors, pii, sharding, topk
+from . import bpe, capture_index, jaccard, langid, mixing, near_vectors, pii, sharding, suffix_dedup, topk
 
 QUERIES = {
     "op1_capture_index": capture_index.op1_capture_index,
@@ -12,8 +12,9 @@ QUERIES = {
     "op5_jaccard_join": jaccard.op5_jaccard_join,
     "op6_pii": pii.op6_pii,
     "op7_language_id": langid.op7_language_id,
+    "op8_suffix_dedup": suffix_dedup.op8_suffix_dedup,
     "op9_topk": topk.op9_topk,
     "op10_mixing": mixing.op10_mixing,
 }
 
-SQL = {"op1_capture_index": capture_index.SQL, "op5_jaccard_join": jaccard.SQL, "op9_topk": topk.SQL, "op10_mixing": mixing.SQL}
+SQL = {"op1_capture_index": capture_index.SQL, "op5_jaccard_join": jaccard.SQL, "op8_suffix_dedup": suffix_dedup.SQL, "op9_topk": topk.SQL, "op10_mixing": mixing.SQL}
