@@ -16,11 +16,21 @@ from palimpsest.llm.common import fresh_path
 MIN_CONFIDENCE = 0.5
 
 
+def aside(docs: DataFrame, *names: str) -> tuple[DataFrame, dict[str, str]]:
+    """docs with the columns of these names, in any case, under other names; and what those are."""
+    held = {c: f"_pl_held_{i}" for i, c in enumerate(docs.columns) if c.lower() in names}
+    return docs.withColumnsRenamed(held), held
+
+
+def back(df: DataFrame, docs: DataFrame, held: dict[str, str]) -> DataFrame:
+    return df.select(*[F.col(held.get(c, c)).alias(c) for c in docs.columns])
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language the network tells with a confidence of MIN_CONFIDENCE or more; lang becomes that language."""
-    found = langid.identify(docs.withColumn("_pl_text", F.col("text")), langid.train(docs), "_pl_text")
-    kept = found.where(F.col("confidence") >= MIN_CONFIDENCE).withColumn("lang", F.col("language"))
-    return kept.select(*docs.columns)
+    d, held = aside(docs, "language", "confidence", "probabilities", "positions")
+    kept = langid.identify(d, langid.train(docs)).where(F.col("confidence") >= MIN_CONFIDENCE)
+    return back(kept.withColumn("lang", F.col("language")), docs, held)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,7 +45,8 @@ def private_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents by their source's target: each as often as the mix takes it."""
-    return mixing.repeated(mixing.mix(docs))
+    d, held = aside(docs, "copies")
+    return back(mixing.repeated(mixing.mix(d)), docs, held)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
