@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import bounded, release
+
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 CACHE = 200_000
@@ -107,6 +109,7 @@ def tokenize(docs: DataFrame, vocabulary: str = VOCABULARY, pattern: str = PATTE
 
     Scale: no shuffle. The vocabulary (a file the driver reads; its size is fixed) travels with the tasks.
     """
+    bounded(docs.sparkSession)
     model = docs.sparkSession.sparkContext.broadcast(model_bytes(read_ranks(vocabulary)))
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
@@ -129,6 +132,7 @@ def tokenize(docs: DataFrame, vocabulary: str = VOCABULARY, pattern: str = PATTE
             lists = pa.ListArray.from_arrays(pa.array(starts, pa.int32()), pa.array(np.concatenate(flat) if flat else np.zeros(0, np.int32)), mask=null if len(null) else None)
             sizes = pa.array([None if t is None else n for t, n in zip(back, np.diff(starts).tolist(), strict=True)], pa.int32())
             yield pa.StructArray.from_arrays([lists, sizes, pa.array(back, pa.bool_())], ["tokens", "n_tokens", "round_trip"])
+        release()
 
     run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
     coded = F.arrow_udf(run, "tokens array<int>, n_tokens int, round_trip boolean")

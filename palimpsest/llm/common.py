@@ -21,6 +21,28 @@ _own: dict[str, str] = {}
 _STABLE = {"Project", "Filter", "Relation", "LocalRelation", "LogicalRDD", "ExternalRDD", "SerializeFromObject", "Range"}
 
 
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "1000"), "spark.sql.execution.arrow.maxBytesPerBatch": (None, str(8 << 20))}
+"""Settings that bound the Arrow batches of whole texts, each with Spark's default and ours."""
+
+
+def bounded(spark: SparkSession) -> None:
+    """Bound the batches that Python gets: texts may be long, and 10,000 of them at a time fill an executor. Set values stay."""
+    for key, (usual, ours) in BATCH.items():
+        if spark.conf.get(key, usual) == usual:
+            spark.conf.set(key, ours)
+
+
+def release() -> None:
+    """Give memory that this Python worker has freed back to the system: workers outlive their tasks and stages."""
+    import ctypes
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # not glibc
+        pass
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share: spark.checkpoint.dir of the session, or one of our own where it is unset."""
     folder = spark.conf.get("spark.checkpoint.dir", None)

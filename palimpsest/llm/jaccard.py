@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ROW, chunked, marked, materialize, numbered, pairs_within, runs_of, text_buffers, whole_groups
+from .common import ROW, bounded, chunked, marked, materialize, numbered, pairs_within, release, runs_of, text_buffers, whole_groups
 from .components import components, labels_of
 from .grams import grams, words
 
@@ -66,6 +66,7 @@ def _signatures(n: int):
                 ends = pa.array(np.arange(len(sig) + 1, dtype=np.int32) * (4 * HASHES))
                 packed = pa.Array.from_buffers(pa.binary(), len(sig), [None, ends.buffers()[1], pa.py_buffer(sig)])
                 yield pa.RecordBatch.from_arrays([batch[ROW].take(at), pa.array(np.concatenate(first)), pa.array(np.concatenate(second)), packed], [ROW, "f1", "f2", "sig"])
+        release()
 
     return run
 
@@ -106,6 +107,7 @@ def _prune(threshold: float, tolerance: float):
                     on = m >= need
                     i, j, m, done = i[on], j[on], m[on], n
                 yield _forest(ids[i], ids[j])
+        release()
 
     return run
 
@@ -121,6 +123,7 @@ def _sets(n: int):
                 ends = np.concatenate([[0], np.cumsum([len(x) for x in each])]).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(each)))
                 yield pa.RecordBatch.from_arrays([batch[ROW].slice(a, b - a), batch["component"].slice(a, b - a), lists], [ROW, "component", "grams"])
+        release()
 
     return run
 
@@ -167,6 +170,7 @@ def _verify(threshold: float):
                 out_b.append(np.maximum(a, b))
                 out_j.append(j[x, y])
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out_a)), pa.array(np.concatenate(out_b)), pa.array(np.concatenate(out_j))], ["a", "b", "jaccard"])
+        release()
 
     return run
 
@@ -174,6 +178,7 @@ def _verify(threshold: float):
 def join_rows(d: DataFrame, threshold: float = THRESHOLD, n: int = GRAM, tolerance: float = TOLERANCE, chunk: int = 1024) -> tuple[DataFrame, DataFrame]:
     """d: ROW and text. (pairs, members): pairs (a, b, jaccard) of representatives' rows; members (ROW, rep) for each row
     with a word, rows of equal word sequences having one representative."""
+    bounded(d.sparkSession)
     low = d.select(ROW, F.lower("text").alias("text"))
     sigs = materialize(low.mapInArrow(_signatures(n), f"{ROW} long, f1 long, f2 long, sig binary"), "signatures")
     reps = sigs.groupBy("f1", "f2").agg(F.min(ROW).alias("rep"))

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import text_buffers
+from .common import bounded, release, text_buffers
 
 WINDOW = 96
 """Bytes that the network reads in one go; a text is tiled by windows, and both directions start anew in each."""
@@ -197,6 +197,7 @@ def identify(docs: DataFrame, net: Network, column: str = "text") -> DataFrame:
 
     Scale: no shuffle; the network has a few thousand numbers.
     """
+    bounded(docs.sparkSession)
     net = docs.sparkSession.sparkContext.broadcast(net)
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
@@ -218,6 +219,7 @@ def identify(docs: DataFrame, net: Network, column: str = "text") -> DataFrame:
 
                 marks = pc.if_else(texts.is_null(), pa.scalar(None, pa.binary()), marks)
             yield pa.StructArray.from_arrays([names, top, lists, marks], ["language", "confidence", "probabilities", "positions"])
+        release()
 
     run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
     named = F.arrow_udf(run, "language string, confidence double, probabilities array<double>, positions binary")

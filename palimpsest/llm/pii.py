@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import bounded, materialize, release
 
 #: What may be an identifier: a phone number in several words, or a word with a digit or an @, without punctuation at its ends.
 MENTION = re.compile(
@@ -101,6 +101,7 @@ def _mentions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     kind = seed_kind(m)
                     rows += [(p, m, kind) for p in patterns_of(m, before, after)]
         yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.string()) for k in range(3)], ["pattern", "instance", "kind"])
+    release()
 
 
 def bootstrap(docs: DataFrame, rounds: int = 3, support: int = 3, trust: float = 0.8) -> DataFrame:
@@ -112,6 +113,7 @@ def bootstrap(docs: DataFrame, rounds: int = 3, support: int = 3, trust: float =
     have `support` instances and score `trust` or more. Seeds score 1 for their kind. Patterns that score `trust` with
     `support` instances after the last round are returned, for their best kind (the first in alphabetical order on a tie).
     """
+    bounded(docs.sparkSession)
     edges = docs.select("text").where("text is not null").mapInArrow(_mentions, "pattern string, instance string, kind string")
     edges = materialize(edges.groupBy("pattern", "instance", "kind").agg(F.count(F.lit(1)).alias("n")), "pii-graph")
     sizes = materialize(edges.groupBy("pattern").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") >= support), "pii-patterns")
@@ -158,6 +160,7 @@ MODEL_ROWS = 500_000
 def extract(docs: DataFrame, model: DataFrame) -> DataFrame:
     """docs with _pl_found, the identifiers of its text as FIND, in order; null for a null text."""
     spark = docs.sparkSession
+    bounded(spark)
     rows = model.limit(MODEL_ROWS + 1).collect()
     if len(rows) <= MODEL_ROWS:
         shipped = spark.sparkContext.broadcast({r["pattern"]: (r["kind"], r["score"]) for r in rows})
@@ -168,6 +171,7 @@ def extract(docs: DataFrame, model: DataFrame) -> DataFrame:
             names = ("start", "length", "kind", "identifier", "score")
             for texts in batches:
                 yield pa.array([None if t is None else [dict(zip(names, f, strict=True)) for f in find(t)] for t in texts.to_pylist()], kind)
+            release()
 
         run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
         return docs.withColumn("_pl_found", F.arrow_udf(run, FIND)(F.col("text")))

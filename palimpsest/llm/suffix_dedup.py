@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import ROW, marked, materialize, numbered, runs_of, shared_dir, text_buffers, whole_groups
+from .common import ROW, bounded, marked, materialize, numbered, release, runs_of, shared_dir, text_buffers, whole_groups
 from .components import components
 from .grams import grams, words
 from .induced import LIMIT, Spill, suffixes
@@ -86,6 +86,7 @@ def _winnow(passage: int):
             if rows:
                 take = pa.array(np.concatenate(rows))
                 yield pa.RecordBatch.from_arrays([batch[ROW].take(take), *(pa.array(np.concatenate(v)) for v in (f1, f2)), pa.array(np.concatenate(sizes).astype(np.int32)), _lists(picks)], [ROW, "f1", "f2", "words", "prints"])
+        release()
 
     return run
 
@@ -230,6 +231,7 @@ def repeated_passages(docs: DataFrame, passage: int = PASSAGE, shard_words: int
 
     Scale: the corpus is read twice; what is shuffled is a print for every 13 words, and the regions.
     """
+    bounded(docs.sparkSession)
     d = numbered(docs.select("doc_id", "text"), "suffix-input").select(ROW, "doc_id", F.lower("text").alias("text"))
     prints = materialize(d.select(ROW, "text").mapInArrow(_winnow(passage), f"{ROW} long, f1 long, f2 long, words int, prints array<long>"), "prints")
     same = W.partitionBy("f1", "f2")
