@@ -149,7 +149,11 @@ def _pieces(passage: int):
                         owner.append(b["owner"][k].as_py())
                         offset.append(low)
                         bodies.append(body[low:high])
-            yield pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(region, pa.int64()), pa.array(owner, pa.int64()), pa.array(offset, pa.int32()), _lists(bodies)], ["family", "region", "owner", "offset", "body"])
+            if key:
+                size = np.array([len(x) for x in bodies])
+                f1, f2 = _prints(np.concatenate(bodies).view(np.uint64), np.cumsum(size) - size, size)
+                numbers = [pa.array(x, pa.int64()) for x in (key, region, owner)]
+                yield pa.RecordBatch.from_arrays([*numbers, pa.array(offset, pa.int32()), pa.array(f1), pa.array(f2), _lists(bodies)], ["family", "region", "owner", "offset", "f1", "f2", "body"])
 
     return run
 
@@ -204,11 +208,11 @@ def _sorted_shards(passage: int, folder: str, limit: int):
                 cut = np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy())])
                 flat = lists.flatten().to_numpy()
                 bodies = [flat[x:y] for x, y in zip(cut[:-1], cut[1:], strict=True)]
-                region, offset = part["region"].to_numpy(), part["offset"].to_numpy()
+                region = part["region"].to_numpy()
                 found = list(repeats(bodies, part["owner"].to_numpy(), passage, spill))
                 spill.clear()
                 k, s, e = (np.array([f[c] for f in found], np.int64) for c in range(3))
-                yield pa.RecordBatch.from_arrays([pa.array(region[k] if len(k) else k), pa.array(s + offset[k] if len(k) else s), pa.array(e + offset[k] if len(k) else e)], ["region", "s", "e"])
+                yield pa.RecordBatch.from_arrays([pa.array(region[k] if len(k) else k), pa.array(s), pa.array(e)], ["region", "s", "e"])
 
     return run
 
@@ -259,15 +263,25 @@ def repeated_passages(docs: DataFrame, passage: int = PASSAGE, shard_words: int
     family = components(links).withColumnRenamed("id", "region").withColumnRenamed("component", "family")
     sized = bodies.select("region", "size").join(family, "region").withColumn("total", F.sum("size").over(W.partitionBy("family")))
     sized = materialize(sized, "families")
-    shards = int((sized.agg(F.sum("size")).first()[0] or 0) // shard_words) + 1
-    wide = "shard long, region long, owner long, offset int, body array<long>"
-    small = bodies.join(sized.where(F.col("total") <= family_words).select("region", "family"), "region")
-    small = small.select("family", "region", "owner", F.lit(0).alias("offset"), "body")
-    large = bodies.join(sized.where(F.col("total") > family_words).select("region"), "region").mapInArrow(_pieces(passage), "family long, region long, owner long, offset int, body array<long>")
-    packed = small.unionByName(large).withColumn("shard", F.pmod(F.xxhash64("family"), F.lit(shards))).select(*[c.split()[0] for c in wide.split(", ")])
+    wide = "shard long, region long, owner long, body array<long>"
+    small = bodies.join(sized.where(F.col("total") <= family_words).select("region", "family"), "region").select("family", "region", "owner", "body")
+    large = bodies.join(sized.where(F.col("total") > family_words).select("region"), "region").mapInArrow(_pieces(passage), "family long, region long, owner long, offset int, f1 long, f2 long, body array<long>")
+    # Pieces that are equal word by word are sorted once; one that several owners have repeats as a whole.
+    large = large.withColumn("piece", F.xxhash64("family", "f1", "f2"))
+    places = materialize(large.select("piece", "region", "offset", F.size("body").alias("size")), "piece-places")
+    distinct = large.groupBy("family", "piece").agg(F.first("body").alias("body"), F.min("owner").alias("low"), F.max("owner").alias("high"))
+    distinct = materialize(distinct.withColumn("both", F.col("low") != F.col("high")), "pieces")
+    once = distinct.select("family", F.col("piece").alias("region"), F.when(F.col("both"), -F.abs("piece") - 1).otherwise(F.col("low")).alias("owner"), "body")
+    counted = [x.agg(F.sum(n)).first()[0] or 0 for x, n in ((sized.where(F.col("total") <= family_words), F.col("size")), (distinct, F.size("body")))]
+    shards = int(sum(counted) // shard_words) + 1
+    packed = small.unionByName(once).withColumn("shard", F.pmod(F.xxhash64("family"), F.lit(shards))).select(*[c.split()[0] for c in wide.split(", ")])
     packed = packed.repartitionById(shards, F.col("shard").cast("int")).sortWithinPartitions("shard", "region")
     folder = f"{shared_dir(docs.sparkSession)}/spill"
     found = materialize(packed.mapInArrow(_sorted_shards(passage, folder, limit), "region long, s long, e long"), "stretches")
+    at = places.join(distinct.select("piece", "both"), "piece")
+    partly = at.where("not both").join(found.withColumnRenamed("region", "piece"), "piece").select("region", (F.col("offset") + F.col("s")).alias("s"), (F.col("offset") + F.col("e")).alias("e"))
+    wholly = at.where("both").select("region", F.col("offset").cast("long").alias("s"), (F.col("offset") + F.col("size")).cast("long").alias("e"))
+    found = found.union(partly).union(wholly)
     # Regions that occur in several documents repeat as a whole; others by their suffixes. Then back to documents, united.
     whole = light.where("twin").select(ROW, F.col("start").cast("long").alias("s"), (F.col("start") + F.col("size")).cast("long").alias("e"))
     part = light.where("not twin").join(found, "region").select(ROW, (F.col("start") + F.col("s")).alias("s"), (F.col("start") + F.col("e")).alias("e"))
