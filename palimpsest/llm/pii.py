@@ -11,10 +11,12 @@ from pyspark.sql import functions as F
 
 from .common import bounded, materialize, release
 
-#: What may be an identifier: a phone number in several words, or a word with a digit or an @, without punctuation at its ends.
+#: What may be an identifier: a phone number, card or IBAN in several words, or a word with a digit or an @, without punctuation at its ends.
 MENTION = re.compile(
     r"\+?\d{1,3}[ .-]?\(\d{2,4}\)[ .-]?\d{3}[ .-]?\d{3,4}(?!\d)|\(\d{3}\) ?\d{3}[ .-]\d{4}(?!\d)|(?<![\w.])\+?\d{1,3}[ .-]\d{3}[ .-]\d{3}[ .-]\d{4}(?!\d)|(?<![\w.-])\d{3}[ .-]\d{3}[ .-]\d{4}(?![\w-])"
+    r"|(?<![\w.])\+\d{1,3}(?:[ .-]\(?\d{2,5}\)?){2,4}(?![\w-])"
     r"|(?<![\d-])(?:\d{4}[ -]){3}\d{4}(?![\d-])"
+    r"|(?<!\w)[A-Z]{2}\d{2}(?:(?: [A-Z0-9]{4}){3,7}(?: (?=[A-Z]{0,2}\d)[A-Z0-9]{1,3})?|(?: [A-Z0-9]{4}){2} (?=[A-Z]{0,2}\d)[A-Z0-9]{3})(?!\w)"
     r"|[^\W_](?:[^\s\"'<>|,;()\[\]{}]*[^\W_])?"
 )
 _SIGN = re.compile(r"[\d@]")
@@ -40,7 +42,7 @@ def seed_kind(text: str) -> str | None:
         return "phone"
     if _SSN.match(text):
         return "ssn"
-    if _IBAN.match(text):
+    if _IBAN.match(text.replace(" ", "")):
         return "iban"
     return "secret" if _SECRET.match(text) else None
 
@@ -80,15 +82,26 @@ def mentions(text: str) -> Iterator[tuple[int, int, str, str, str]]:
         yield start, at, found.group(), " ".join(before), " ".join(after)
 
 
+def coarse(text: str) -> str:
+    """The class of a mention whatever its form: @ with an at sign, 9 of digits and signs only, a9 of letters and digits."""
+    return "@" if "@" in text else "a9" if any(map(str.isalpha, text)) else "9"
+
+
 def patterns_of(mention: str, before: str, after: str) -> list[str]:
-    """The lexical patterns that a mention instantiates: its form within its left context, and within its right context."""
-    s = shape(mention)
+    """The lexical patterns that a mention instantiates: its form within its left context, and within its right context; its
+    contexts by themselves, whatever the form: the two words before (C2), and the words before and after (CB); and with its
+    coarse class only, the one word before (K1) and the one after (KR)."""
+    s, k = shape(mention), coarse(mention)
     last = before.split(" ")[-1] if before else ""
     out = [f"L2|{before}|{s}"] if before else []
     if last:
-        out.append(f"L1|{last}|{s}")
+        out += [f"L1|{last}|{s}", f"K1|{last}|{k}"]
+    if last != before:
+        out.append(f"C2|{before}")
     if after:
-        out.append(f"R1|{s}|{after}")
+        out += [f"R1|{s}|{after}", f"KR|{k}|{after}"]
+    if last and after:
+        out.append(f"CB|{last}|{after}")
     return [*out, f"S|{s}"]
 
 
@@ -198,7 +211,7 @@ def identifiers(docs: DataFrame, rounds: int = 3, support: int = 3, trust: float
     """(doc_id, start, length, kind, identifier, score): every identifier found in every text; start counts characters from 0.
 
     Patterns are learnt from all texts (see bootstrap) and then applied to all texts. Kinds: email, phone, card, ip, ssn, iban, secret.
-    Null and empty texts have none; a null doc_id is carried as null; repeated rows are reported each. Other columns
+    Mentions have a digit or an @; what is of letters only is not looked at. Null and empty texts have none; a null doc_id is carried as null; repeated rows are reported each. Other columns
     are not read. Very long texts are read whole. An empty table gives no rows.
 
     Scale: the corpus is read twice and not shuffled; the graph has the mentions only. The trusted patterns travel with the tasks up

@@ -263,6 +263,22 @@ def test_pii_patterns_discover_what_seeds_do_not_show(spark):
     assert {r["doc_id"] for r in found} >= set(range(40)) and not any(r["doc_id"] == 101 for r in found)
 
 
+def test_pii_contexts_discover_forms_of_their_own(spark):
+    rows = [(i, f"please mail to u{i}@mail7.example.com now", "en", "s", 1) for i in range(40)]
+    rows += [(100, "please mail to u77@mail7 now", "en", "s", 1), (101, "version u77 of it", "en", "s", 1)]
+    rows += [(200 + i, f"badge no {1000 + i} and again u{i}@corp{i}.example.com", "en", "s", 1) for i in range(9)]
+    rows += [(300 + i, f"her phone is 555-{100 + i}-4567 today", "en", "s", 1) for i in range(20)]
+    rows += [(400, "her phone is +44 20 7946 0958 today", "en", "s", 1), (401, "she wants 20 7946 of them", "en", "s", 1)]
+    rows += [(500 + i, f"pay into account DE{10 + i}3704004405320130{10 + i} please", "en", "s", 1) for i in range(20)]
+    rows += [(600, "pay into account 70412236 please", "en", "s", 1), (601, "of GB29 NWBK 6016 1331 9268 19 AND NO93 8601 1117 947", "en", "s", 1)]
+    found = {}
+    for r in pii.identifiers(spark.createDataFrame(rows, DOCS)).collect():
+        found.setdefault(r["doc_id"], []).append((r["kind"], r["identifier"]))
+    assert found[100] == [("email", "u77@mail7")] and found[400] == [("phone", "+44 20 7946 0958")] and found[600] == [("iban", "70412236")]
+    assert found[601] == [("iban", "GB29 NWBK 6016 1331 9268 19"), ("iban", "NO93 8601 1117 947")]
+    assert 101 not in found and 401 not in found and all(len(found[200 + i]) == 1 for i in range(9))
+
+
 def test_pii_by_join_equals_pii_by_shipping(docs, none, monkeypatch):
     a = sorted(map(str, pii.identifiers(docs).collect()))
     cleaned = {r["text"] for r in pii.redact(clash(docs, "kind", "start", "score")).collect()}
