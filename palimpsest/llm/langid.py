@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import bounded, release, text_buffers
@@ -14,7 +14,9 @@ from .common import bounded, release, text_buffers
 WINDOW = 96
 """Bytes that the network reads in one go; a text is tiled by windows, and both directions start anew in each."""
 TRAIN_ROWS = 1200
-"""Labelled rows (about) that training reads, in total."""
+"""Labelled texts (about) that training reads, in total."""
+LEAST_ROWS = 8
+"""Texts of each language that training reads at least, if it has them, however many languages there are."""
 UNITS = 8
 
 
@@ -139,18 +141,28 @@ def windows(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return x, doc, count
 
 
+def sample(docs: DataFrame, rows: int, seed: int) -> pa.Table:
+    """(lang, text) of distinct labelled texts: all if there are at most `rows` labelled rows, else of each language of docs
+    those with the lowest hashes, rows / languages of them but at least LEAST_ROWS. Neither copies nor the order of reading matter.
+
+    Scale: the labelled rows are read three times; what is shuffled is a hash of each, and the texts that were picked."""
+    known = docs.select("text", "lang").where("lang is not null and lang != '' and text is not null and text != ''")
+    sizes = known.groupBy("lang").count().collect()
+    each = rows if sum(r["count"] for r in sizes) <= rows else max(LEAST_ROWS, rows // len(sizes))
+    hashed = known.withColumn("h", F.xxhash64("text", "lang", F.lit(seed)))
+    nth = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
+    lowest = hashed.select("lang", "h").distinct().withColumn("nth", nth).where(F.col("nth") <= each).select("lang", "h")
+    return hashed.join(F.broadcast(lowest), ["lang", "h"]).groupBy("lang", "h").agg(F.min("text").alias("text")).select("lang", "text").toArrow()
+
+
 def train(docs: DataFrame, rows: int = TRAIN_ROWS, steps: int = 260, seed: int = 3) -> Network:
-    """A network for the languages that docs are labelled with (column lang; null and '' are no label).
+    """A network for all languages that docs are labelled with (column lang; null and '' are no label).
 
-    Training reads a sample of about `rows` rows with label and text, chosen by a hash of their values, and of
+    Training reads a sample of about `rows` labelled texts, in which every language has its part (see sample), and of
     those all windows, weighted so that each language counts alike. No labelled row gives a network with the one language 'und'.
     """
-    known = docs.select("text", "lang").where("lang is not null and lang != '' and text is not null and text != ''")
-    n = known.count()
-    share = min(1.0, rows / max(n, 1))
-    h = F.pmod(F.xxhash64("text", "lang", F.lit(seed)), F.lit(1 << 30))
-    picked = known.where(h < int(share * (1 << 30)) + 1).limit(2 * rows).toArrow().combine_chunks() if n else None
-    if picked is None or not picked.num_rows:
+    picked = sample(docs, rows, seed).combine_chunks()
+    if not picked.num_rows:
         return Network(["und"], seed=seed)
     picked = picked.sort_by([("lang", "ascending"), ("text", "ascending")]).combine_chunks()
     labels = picked["lang"].to_pylist()

@@ -326,6 +326,16 @@ def test_languages_on_held_out_documents(spark, sf):
     assert all(len(r["positions"]) == len(r["text"].encode()) and sum(r["probabilities"]) == pytest.approx(1) for r in rows)
 
 
+def test_every_labelled_language_is_in_the_sample(spark):
+    rows = [(i, "the same text again and again", "en", "s", 1) for i in range(2000)] + [(2000 + i, f"text number {i} of many", "en", "s", 1) for i in range(1000)]
+    rows += [(5000 + i, f"teksto numero {i}", f"x{i}", "s", 1) for i in range(20)] + [(6000 + i, f"noch ein Text {i}", "de", "s", 1) for i in range(300)]
+    d = spark.createDataFrame(rows, DOCS)
+    picked = [(r["lang"], r["text"]) for r in langid.sample(d, 220, 3).to_pylist()]
+    assert len(picked) == len(set(picked)) and Counter(lang for lang, _ in picked) == {"en": 10, "de": 10} | {f"x{i}": 1 for i in range(20)}
+    assert sorted(picked) == sorted((r["lang"], r["text"]) for r in langid.sample(d.orderBy(F.desc("doc_id")).repartition(7), 220, 3).to_pylist())
+    assert langid.train(d, rows=220, steps=1).languages == sorted({r[2] for r in rows})
+
+
 def test_language_edge_cases(spark, docs, none):
     net = langid.Network(["de", "en"])
     rows = {r["doc_id"]: r for r in langid.identify(clash(docs, "language", "positions"), net).collect()}
