@@ -156,6 +156,17 @@ def block_hallucinated(text: Column, conf: Column, coverage: Column) -> Column:
     return F.coalesce((c < 45) & (ar > 0) & (mark_chars(text) < ar * 0.03) & (coverage >= 0.5), F.lit(False))
 
 
+def citation_dense(size: Column, digits: Column) -> Column:
+    """A page of citations by its Latin lines: 1000 characters of them, of which 3 % are digits."""
+    return F.coalesce((size >= 1000) & (digits >= size * 0.03), F.lit(False))
+
+
+def anchors_script(text: Column, conf: Column) -> Column:
+    """A block that proves real script on its page: 100 script characters at a confidence of 65. Null conf counts as 0."""
+    c = F.coalesce(F.when((conf > 0) & (conf <= 1), conf * 100).otherwise(conf), F.lit(0.0))
+    return F.coalesce((rtl_chars(text) >= 100) & (c >= 65), F.lit(False))
+
+
 def tagged_script(text: Column, kind: Column, own: dict[str, str] | None = None) -> Column:
     """Language of an element by the user's glyph classes, then by script; blocks of script default to ar; other kinds have none."""
     tag = detect_script(text)

@@ -156,6 +156,21 @@ def f8(t):
     return k.where((C("size") >= 1000) & (C("digits") >= C("size") * 0.005)).join(anchored, "doc_id", "left_anti").select("doc_id", "digits")
 
 
+LONG_BLOCK = 12  # texts of a box in a block, that some reach 100 script characters
+
+
+@query(
+    "f8_citation_pages",
+    f"WITH {PICKED}, k AS (SELECT doc_id, sum(length(line)) AS size, sum({n('[0-9]', 'line')}) AS digits FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents) GROUP BY doc_id), "
+    f"a AS (SELECT DISTINCT pno FROM (SELECT pno, repeat(text, {LONG_BLOCK}) AS text, {CONF.format(0)} AS c FROM picked) WHERE {AR} >= 100 AND c >= 65) "
+    "SELECT doc_id, CAST(digits AS BIGINT) AS digits FROM k WHERE size >= 1000 AND digits >= size * 0.03 AND doc_id NOT IN (SELECT pno FROM a)",
+)
+def f8_pages(t):
+    k = t.lines.groupBy("doc_id").agg(F.sum(F.length("line")).alias("size"), F.sum(text.digit_chars(C("line"))).alias("digits"))
+    anchored = t.picked.where(noise.anchors_script(F.repeat("text", F.lit(LONG_BLOCK)), C("conf"))).select(C("pno").alias("doc_id"))
+    return k.where(noise.citation_dense(C("size"), C("digits"))).join(anchored, "doc_id", "left_anti").select("doc_id", "digits")
+
+
 HINT = text.HINTS.replace("'", "''")
 
 

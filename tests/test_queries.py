@@ -42,3 +42,16 @@ def test_last_kept_by_a_loop(spark, sf):
         pages[pno] = kept
     got = {r["pno"]: [float(y) for y in r["ys"].split(",")] for r in QUERIES["w7_last_kept"](spark, sf).collect()}
     assert got == pages
+
+
+def test_citation_pages_by_the_rule(spark):
+    from pyspark.sql import functions as F
+
+    from palimpsest.functions import noise
+
+    pages = [(1, 1000, 30), (2, 1000, 29), (3, 999, 500), (4, 4000, 40), (5, None, None)]
+    got = spark.createDataFrame(pages, "id int, size long, digits long").where(noise.citation_dense(F.col("size"), F.col("digits"))).collect()
+    assert [r["id"] for r in got] == [1]
+    blocks = [(1, "س" * 100, 65.0), (2, "س" * 99, 99.0), (3, "س" * 100, 64.9), (4, "س" * 100, 0.65), (5, "س" * 100, None), (6, None, 90.0)]
+    got = spark.createDataFrame(blocks, "id int, text string, conf double").where(noise.anchors_script(F.col("text"), F.col("conf"))).collect()
+    assert [r["id"] for r in got] == [1, 4]
