@@ -416,9 +416,9 @@ def j14(t):
 GRAMS = r"list_transform(range(1, len(w) - 2), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] || ' ' || w[i + 3])"
 
 
-def grams4(df: DataFrame, key: str) -> DataFrame:
-    w = df.select(key, F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0)).alias("w")).where("size(w) >= 4")
-    return w.select(key, F.explode(F.expr("transform(sequence(1, size(w) - 3), i -> array_join(slice(w, i, 4), ' '))")).alias("g")).distinct()
+def grams(df: DataFrame, key: str, n: int) -> DataFrame:
+    w = df.select(key, F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0)).alias("w")).where(F.size("w") >= n)
+    return w.select(key, F.explode(F.expr(f"transform(sequence(1, size(w) - {n - 1}), i -> array_join(slice(w, i, {n}), ' '))")).alias("g")).distinct()
 
 
 @query(
@@ -427,7 +427,36 @@ def grams4(df: DataFrame, key: str) -> DataFrame:
     f"dg AS (SELECT DISTINCT doc_id, unnest({GRAMS}) AS g FROM d WHERE len(w) >= 4), bg AS (SELECT DISTINCT item_id, unnest({GRAMS}) AS g FROM b WHERE len(w) >= 4) SELECT doc_id, item_id, count(*) AS hits FROM dg JOIN bg USING (g) GROUP BY ALL",
 )
 def j16(t):
-    return grams4(t.documents, "doc_id").join(grams4(t.benchmark, "item_id"), "g").groupBy("doc_id", "item_id").agg(F.count(F.lit(1)).alias("hits"))
+    return grams(t.documents, "doc_id", 4).join(grams(t.benchmark, "item_id", 4), "g").groupBy("doc_id", "item_id").agg(F.count(F.lit(1)).alias("hits"))
+
+
+GRAMS3 = r"list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])"
+
+
+def anchor_candidates(docs: DataFrame, verses: DataFrame) -> DataFrame:
+    """(doc_id, item_id, gram, hits): pairs with a common 4-gram; for documents that have none, those with a common 3-gram.
+
+    The grams of the verses are sent to all tasks, so those of the documents are not shuffled, only those that hit."""
+
+    def hits(texts: DataFrame, n: int) -> DataFrame:
+        w = texts.select("doc_id", F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0)).alias("w")).where(F.size("w") >= n)
+        g = w.select("doc_id", F.explode(F.expr(f"transform(sequence(1, size(w) - {n - 1}), i -> array_join(slice(w, i, {n}), ' '))")).alias("g"))
+        return g.join(F.broadcast(grams(verses, "item_id", n)), "g").groupBy("doc_id", "item_id").agg(F.count_distinct("g").alias("hits"))
+
+    four = hits(docs, 4)
+    three = hits(docs.join(four.select("doc_id"), "doc_id", "left_anti"), 3)
+    return four.withColumn("gram", F.lit(4)).unionByName(three.withColumn("gram", F.lit(3)))
+
+
+@query(
+    "j16_anchor_candidates",
+    "WITH d AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z]+') AS w FROM documents), b AS (SELECT item_id, regexp_extract_all(lower(text), '[a-z]+') AS w FROM benchmark), "
+    f"d4 AS (SELECT DISTINCT doc_id, unnest({GRAMS}) AS g FROM d WHERE len(w) >= 4), b4 AS (SELECT DISTINCT item_id, unnest({GRAMS}) AS g FROM b WHERE len(w) >= 4), h4 AS (SELECT doc_id, item_id, count(*) AS hits FROM d4 JOIN b4 USING (g) GROUP BY ALL), "
+    f"d3 AS (SELECT DISTINCT doc_id, unnest({GRAMS3}) AS g FROM d WHERE len(w) >= 3 AND doc_id NOT IN (SELECT doc_id FROM h4)), b3 AS (SELECT DISTINCT item_id, unnest({GRAMS3}) AS g FROM b WHERE len(w) >= 3), "
+    "h3 AS (SELECT doc_id, item_id, count(*) AS hits FROM d3 JOIN b3 USING (g) GROUP BY ALL) SELECT doc_id, item_id, hits, 4 AS gram FROM h4 UNION ALL SELECT doc_id, item_id, hits, 3 AS gram FROM h3",
+)
+def j16_candidates(t):
+    return anchor_candidates(t.documents, t.benchmark)
 
 
 @query("j19_overrides", "SELECT doc_id, coalesce(CASE quality WHEN 1 THEN 'good' WHEN 0 THEN 'poor' END, source) AS body, quality IS NOT NULL AS replaced FROM documents LEFT JOIN labels USING (doc_id)")

@@ -55,3 +55,12 @@ def test_citation_pages_by_the_rule(spark):
     blocks = [(1, "س" * 100, 65.0), (2, "س" * 99, 99.0), (3, "س" * 100, 64.9), (4, "س" * 100, 0.65), (5, "س" * 100, None), (6, None, 90.0)]
     got = spark.createDataFrame(blocks, "id int, text string, conf double").where(noise.anchors_script(F.col("text"), F.col("conf"))).collect()
     assert [r["id"] for r in got] == [1, 4]
+
+
+def test_anchors_fall_back_to_three_words(spark):
+    from palimpsest.plans import queries
+
+    verses = spark.createDataFrame([(1, "in the beginning was the word"), (2, "a time to keep silence"), (3, "jesus wept aloud")], "item_id int, text string")
+    docs = [(1, "he read: in the beginning was light"), (2, "keep In the beginning!"), (3, "to keep silence"), (4, "in the beginning was a time to read"), (5, "jesus wept"), (6, "and Jesus wept aloud there"), (7, None)]
+    got = queries.anchor_candidates(spark.createDataFrame(docs, "doc_id int, text string"), verses).collect()
+    assert sorted((r["doc_id"], r["item_id"], r["gram"], r["hits"]) for r in got) == [(1, 1, 4, 1), (2, 1, 3, 1), (3, 2, 3, 1), (4, 1, 4, 1), (6, 3, 3, 1)]
