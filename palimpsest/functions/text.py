@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -187,12 +191,59 @@ def note_refs(html: Column) -> Column:
     return F.regexp_replace(t, r"<sup\b[^>]*>\s*(\d+)\s*</sup>", "[^$1]")
 
 
+ENTITIES = {"&amp;": "&", "&lt;": "<", "&gt;": ">", "&quot;": '"', "&apos;": "'", "&#x27;": "'", "&nbsp;": NBSP}
+_HTML_PART = re.compile("(<[^>]*>?|>)|(" + "|".join(map(re.escape, ENTITIES)) + ")|&#(x?)([0-9a-fA-F]+);")
+
+
+def _numeric(x: str, digits: str) -> str:
+    """The character of a numeric entity; ? for a number that is none, or that no text can hold."""
+    if not x and not digits.isdecimal():
+        return "?"
+    digits = digits.lstrip("0") or "0"
+    code = int(digits, 16 if x else 10) if len(digits) <= 7 else 0x110000
+    return chr(code) if code < 0xD800 or 0xDFFF < code < 0x110000 else "?"
+
+
+def plain_of_html(html: str) -> tuple[str, list[int]]:
+    """Text of HTML, and for each of its characters the place in the HTML (from 0) where what made it begins."""
+    out: list[str] = []
+    places: list[int] = []
+    at = 0
+    for m in _HTML_PART.finditer(html):
+        out.append(html[at : m.start()])
+        places.extend(range(at, m.start()))
+        if not m[1]:
+            out.append(ENTITIES[m[2]] if m[2] else _numeric(m[3], m[4]))
+            places.append(m.start())
+        at = m.end()
+    out.append(html[at:])
+    places.extend(range(at, len(html)))
+    return "".join(out), places
+
+
+def _html_texts(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    for b in batches:
+        yield pa.array([None if h is None else plain_of_html(h)[0] for h in b.to_pylist()], pa.string())
+
+
+def _html_plains(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    kind = pa.struct([("text", pa.string()), ("places", pa.list_(pa.int32()))])
+    for b in batches:
+        yield pa.array([None if h is None else dict(zip(("text", "places"), plain_of_html(h), strict=True)) for h in b.to_pylist()], kind)
+
+
+for _f in (_html_texts, _html_plains):
+    _f.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
+
+
 def html_text(html: Column) -> Column:
-    """Text of HTML: tags and stray > go, the usual entities are decoded."""
-    t = F.regexp_replace(html, r"<[^>]*>?|>", "")
-    for entity, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&#x27;", "'"), ("&nbsp;", NBSP), ("&amp;", "&")):
-        t = F.replace(t, F.lit(entity), F.lit(char))
-    return t
+    """Text of HTML: tags and stray > go, the usual entities and numeric ones are decoded, once."""
+    return F.arrow_udf(_html_texts, "string")(html)
+
+
+def html_plain(html: Column) -> Column:
+    """STRUCT<text, places>: html_text, and of each character the place in the HTML (from 0) where what made it begins."""
+    return F.arrow_udf(_html_plains, "struct<text:string,places:array<int>>")(html)
 
 
 def language_codes(langs: Column) -> Column:

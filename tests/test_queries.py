@@ -64,3 +64,26 @@ def test_anchors_fall_back_to_three_words(spark):
     docs = [(1, "he read: in the beginning was light"), (2, "keep In the beginning!"), (3, "to keep silence"), (4, "in the beginning was a time to read"), (5, "jesus wept"), (6, "and Jesus wept aloud there"), (7, None)]
     got = queries.anchor_candidates(spark.createDataFrame(docs, "doc_id int, text string"), verses).collect()
     assert sorted((r["doc_id"], r["item_id"], r["gram"], r["hits"]) for r in got) == [(1, 1, 4, 1), (2, 1, 3, 1), (3, 2, 3, 1), (4, 1, 4, 1), (6, 3, 3, 1)]
+
+
+def test_html_entities_and_places(spark):
+    from pyspark.sql import functions as F
+
+    from palimpsest.functions import text
+
+    cases = {
+        "<p>a &#8212; b&#160;c &#39;d&#39;</p>": "a \u2014 b\u00a0c 'd'",
+        "&#x2014;&#x1F600;&#x27;&#0065;": "\u2014\U0001f600'A",
+        "&#12a;|&#x110000;|&#99999999999;|&#xD800;": "?|?|?|?",
+        "&#;&#xZZ;&#65 &#X41; &euro;": "&#;&#xZZ;&#65 &#X41; &euro;",
+        "&amp;lt; &#38;lt; &amp;#65; <b title='&#65;'>x</b> > <i": "&lt; &lt; &#65; x  ",
+        "": "",
+    }
+    d = spark.createDataFrame([*cases.items(), (None, None)], "html string, want string")
+    for r in d.select("*", text.html_text(F.col("html")).alias("text"), text.html_plain(F.col("html")).alias("plain")).collect():
+        assert r["text"] == r["want"]
+        if r["html"] is None:
+            assert r["plain"] is None
+            continue
+        assert r["plain"]["text"] == r["want"] and len(r["plain"]["places"]) == len(r["want"])
+        assert all(c == r["html"][p] or r["html"][p] == "&" for c, p in zip(r["want"], r["plain"]["places"], strict=True))
