@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column
@@ -246,6 +246,12 @@ def html_plain(html: Column) -> Column:
     return F.arrow_udf(_html_plains, "struct<text:string,places:array<int>>")(html)
 
 
+def on_text_only(html: Column, f: Callable[[Column], Column]) -> Column:
+    """HTML with f applied to each piece of text between tags; tags and what is in them stay."""
+    pieces = F.regexp_extract_all(html, F.lit("<[^>]*>?|[^<]+"), F.lit(0))
+    return F.array_join(F.transform(pieces, lambda s: F.when(s.startswith("<"), s).otherwise(f(s))), "")
+
+
 def language_codes(langs: Column) -> Column:
     """Recogniser codes of an array of language tags: whole tag, then its primary part, else as it is; first occurrences; default eng."""
     table = F.create_map(*[F.lit(x) for pair in LANGUAGE_CODES.items() for x in pair])

@@ -87,3 +87,13 @@ def test_html_entities_and_places(spark):
             continue
         assert r["plain"]["text"] == r["want"] and len(r["plain"]["places"]) == len(r["want"])
         assert all(c == r["html"][p] or r["html"][p] == "&" for c, p in zip(r["want"], r["plain"]["places"], strict=True))
+
+
+def test_functions_on_text_only(spark):
+    from pyspark.sql import functions as F
+
+    from palimpsest.functions import text
+
+    cases = {"a<b title='a'>ba</b\n>a > a": "A<b title='a'>BA</b\n>A > A", "<a><b a": "<a><b a", "aa": "AA", "": "", None: None}
+    d = spark.createDataFrame(list(cases.items()), "html string, want string")
+    assert all(r["got"] == r["want"] for r in d.select("want", text.on_text_only(F.col("html"), F.upper).alias("got")).collect())
