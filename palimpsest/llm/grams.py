@@ -14,7 +14,7 @@ _BASE = 0x9E3779B97F4A7C15 | 1
 _MASK = (1 << 64) - 1
 
 
-def _mix(h: np.ndarray) -> np.ndarray:
+def mix(h: np.ndarray) -> np.ndarray:
     h = h ^ (h >> np.uint64(33))
     h *= np.uint64(0xFF51AFD7ED558CCD)
     h ^= h >> np.uint64(33)
@@ -56,7 +56,7 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     if longest > len(_POW):
         _POW = _powers(2 * longest)
     h = (data[at].astype(np.uint64) + np.uint64(1)) * _POW[place]
-    h = _mix(np.add.reduceat(h, first) + length.astype(np.uint64))
+    h = mix(np.add.reduceat(h, first) + length.astype(np.uint64))
     return h, np.searchsorted(offsets, start, side="right") - 1, start, start + length
 
 
@@ -79,4 +79,4 @@ def grams(h: np.ndarray, doc: np.ndarray, texts: int, n: int = NGRAM) -> tuple[n
             g += h[at + j] * _STEP[j]
         else:
             g[ok] += h[at[ok] + j] * _STEP[j]
-    return _mix(g + most.astype(np.uint64)), offsets
+    return mix(g + most.astype(np.uint64)), offsets

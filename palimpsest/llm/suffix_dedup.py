@@ -12,150 +12,166 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import ROW, bounded, marked, materialize, numbered, release, runs_of, shared_dir, text_buffers, whole_groups
-from .components import components
-from .grams import grams, words
+from .grams import grams, mix, words
 from .induced import LIMIT, Spill, suffixes
 
 PASSAGE = 50
 SHARD_WORDS = 250_000
-FAMILY_WORDS = 2_000_000
+GROUP_WORDS = 250_000
+_ODD = 0x9E3779B97F4A7C15
 
 
-def _slide(x: np.ndarray, width: int, best) -> np.ndarray:
-    """best of x[i .. i + width - 1], for all i where that exists."""
-    have, size = x, 1
-    while 2 * size <= width:
-        have, size = best(have[:-size], have[size:]), 2 * size
-    return best(have[: len(x) - width + 1], have[width - size :]) if size < width else have
+def _least(g: np.ndarray, width: int) -> np.ndarray:
+    """Place of the least of each g[i .. i + width - 1], the last of equal ones."""
+    v, at, size = g, np.arange(len(g)), 1
 
+    def better(v1, at1, v2, at2):
+        first = v1 < v2
+        return np.where(first, v1, v2), np.where(first, at1, at2)
 
-def selected(g: np.ndarray, width: int) -> np.ndarray:
-    """Positions of g that are the least of some window of `width` values. g: one text's grams."""
-    if len(g) < width:
-        return np.zeros(0, np.int64)
-    low = _slide(g, width, np.minimum)
-    pad = np.zeros(width - 1, np.uint64)
-    return np.flatnonzero(_slide(np.concatenate([pad, low, pad]), width, np.maximum) == g)
+    while 2 * size <= width:
+        v, at = better(v[:-size], at[:-size], v[size:], at[size:])
+        size *= 2
+    if size < width:
+        n = len(g) - width + 1
+        v, at = better(v[:n], at[:n], v[width - size :], at[width - size :])
+    return at
 
 
-def _prints(values: np.ndarray, begin: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """128 bits of each run of values, by order."""
-    place = (np.arange(len(values)) - np.repeat(begin, size)).astype(np.uint64)
-    a = (values ^ (place * np.uint64(0x9E3779B97F4A7C15))) * np.uint64(0xD6E8FEB86659FD93)
-    b = (values * np.uint64(0xC4CEB9FE1A85EC53) ^ (values >> np.uint64(29))) * (place * np.uint64(2) + np.uint64(0xFF51AFD7ED558CCD))
-    a ^= a >> np.uint64(32)
-    b ^= b >> np.uint64(31)
-    return np.add.reduceat(a * np.uint64(0x9FB21C651E98DF25), begin).view(np.int64), np.add.reduceat(b * np.uint64(0xA0761D6478BD642F), begin).view(np.int64)
+class _Prefix:
+    """Hashes of any stretches of words, from sums of powers."""
 
+    def __init__(self, h: np.ndarray):
+        power = np.cumprod(np.full(len(h) + 1, _ODD, np.uint64))
+        self.back = np.cumprod(np.full(len(h) + 1, pow(_ODD, -1, 1 << 64), np.uint64))
+        self.sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(h * power[:-1])])
 
-def _lists(parts: list[np.ndarray], dtype=np.int64) -> pa.Array:
-    ends = np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(parts).astype(dtype) if parts else np.zeros(0, dtype)))
+    def of(self, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+        return mix((self.sums[end] - self.sums[begin]) * self.back[begin] + (end - begin).astype(np.uint64))
 
 
 def _split(passage: int) -> tuple[int, int]:
-    """Gram and window whose selection every passage of so many words shares: gram + window - 1 = passage."""
+    """Gram and window whose least gram every passage of so many words has: gram + window - 1 = passage."""
     gram = max(1, passage // 2)
     return gram, passage - gram + 1
 
 
-def _winnow(passage: int):
+def levels(passage: int) -> int:
+    """Steps in which a print's windows can be halved until each is alone."""
+    return (_split(passage)[1] - 1).bit_length()
+
+
+def pieces(h: np.ndarray, doc: np.ndarray, texts: int, passage: int, level: int = 0, within: tuple | None = None):
+    """(text, start, size, key, body) of the pieces of texts: each window of `passage` words is in one piece, and equal
+    windows are in pieces of the same key.
+
+    The windows whose least gram (the print) is at the same place are one piece; its key is the print. At a higher level the
+    piece is cut by how far its windows begin before the print, into 2^level ranges; the key is a hash of all the words that the
+    windows of such a range share, so at the last level it is the window itself. within: (text, start, size) of pieces to
+    which this is confined. body is a hash of the piece's words.
+    """
     gram, width = _split(passage)
+    size = np.bincount(doc, minlength=texts)
+    begin = np.cumsum(size) - size
+    g, go = grams(h, doc, texts, gram)
+    none = np.zeros(0, np.int64)
+    if len(g) < width:
+        return none, none, none, none, none
+    at = _least(g, width)
+    owner = np.repeat(np.arange(texts), np.diff(go))
+    on = owner[: len(at)] == owner[width - 1 :]
+    if within is not None:
+        k, s, n = within
+        edge = np.zeros(len(at) + 1, np.int64)
+        np.add.at(edge, go[k] + s, 1)
+        np.add.at(edge, go[k] + s + n - passage + 1, -1)
+        on &= np.cumsum(edge[:-1]) > 0
+    i = np.flatnonzero(on)
+    if not len(i):
+        return none, none, none, none, none
+    at, shift = at[i], levels(passage) - level
+    part = (at - i) >> shift
+    new = np.flatnonzero(np.concatenate([[True], (i[1:] != i[:-1] + 1) | (at[1:] != at[:-1]) | (part[1:] != part[:-1])]))
+    first, n = i[new], np.diff(np.append(new, len(i))) + passage - 1
+    text, at, part = owner[first], at[new], part[new]
+    start = first - go[text]
+    prefix = _Prefix(h)
+    flat = begin[text] + start
+    if level:
+        far = part << shift
+        near = np.minimum(far + (1 << shift) - 1, width - 1)
+        core = begin[text] + at - go[text]
+        key = mix(prefix.of(core - far, core - near + passage) + part.astype(np.uint64) * np.uint64(64) + np.uint64(level))
+    else:
+        key = g[at]
+    return text, start, n, key.view(np.int64), prefix.of(flat, flat + n).view(np.int64)
+
+
+def _lists(per_text: np.ndarray, *columns) -> list[pa.Array]:
+    ends = pa.array(np.concatenate([[0], np.cumsum(per_text)]).astype(np.int32))
+    return [pa.ListArray.from_arrays(ends, pa.array(c)) for c in columns]
+
+
+def _winnow(passage: int):
+    """A row for each text of `passage` words or more: two hashes of it, and its pieces."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = text_buffers(batch["text"])
-            rows, f1, f2, sizes, picks = [], [], [], [], []
-            for a, b in runs_of(offsets, 1 << 18):
+            for a, b in runs_of(offsets, 1 << 20):
                 h, doc, _, _ = words(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
                 size = np.bincount(doc, minlength=b - a)
                 long = np.flatnonzero(size >= passage)
                 if not len(long):
                     continue
-                begin = (np.cumsum(size) - size)[size > 0]
-                p, q = _prints(h, begin, size[size > 0])
-                at = np.cumsum(size > 0) - 1
-                g, go = grams(h, doc, b - a, gram)
-                rows.append(long + a)
-                f1.append(p[at[long]])
-                f2.append(q[at[long]])
-                sizes.append(size[long])
-                for i in long:
-                    x = g[go[i] : go[i + 1]]
-                    picks.append(np.unique(x[selected(x, width)]).view(np.int64))
-            if rows:
-                take = pa.array(np.concatenate(rows))
-                yield pa.RecordBatch.from_arrays([batch[ROW].take(take), *(pa.array(np.concatenate(v)) for v in (f1, f2)), pa.array(np.concatenate(sizes).astype(np.int32)), _lists(picks)], [ROW, "f1", "f2", "words", "prints"])
+                end = np.cumsum(size)[long]
+                f1, f2 = _Prefix(h).of(end - size[long], end), _Prefix(mix(h)).of(end - size[long], end)
+                text, start, n, key, body = pieces(h, doc, b - a, passage)
+                lists = _lists(np.bincount(text, minlength=b - a)[long], key, body, start.astype(np.int32), n.astype(np.int32))
+                yield pa.RecordBatch.from_arrays(
+                    [batch[ROW].take(pa.array(long + a)), pa.array(f1.view(np.int64)), pa.array(f2.view(np.int64)), pa.array(size[long].astype(np.int32)), *lists],
+                    [ROW, "f1", "f2", "words", "p", "f", "start", "size"],
+                )
         release()
 
     return run
 
 
-def _regions(passage: int):
-    gram, width = _split(passage)
+def _asked(batch: pa.RecordBatch, a: int, b: int):
+    """Row of each asked-for piece of the texts a .. b - 1, and their list of structs laid flat."""
+    part = batch["asked"].slice(a, b - a)
+    return np.repeat(np.arange(b - a), part.value_lengths().to_numpy()), part.flatten()
+
+
+def _finer(passage: int, level: int):
+    """The pieces of a higher level that lie within the pieces asked for."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = text_buffers(batch["text"])
-            rows, starts, bodies, shared = [], [], [], []
-            known = batch["prints"]
-            for a, b in runs_of(offsets, 1 << 18):
+            for a, b in runs_of(offsets, 1 << 20):
                 h, doc, _, _ = words(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
-                size = np.bincount(doc, minlength=b - a)
-                begin = np.cumsum(size) - size
-                g, go = grams(h, doc, b - a, gram)
-                for i in range(b - a):
-                    x = g[go[i] : go[i + 1]]
-                    at = selected(x, width)
-                    at = at[np.isin(x[at].view(np.int64), known[a + i].values.to_numpy())]
-                    if not len(at):
-                        continue
-                    low, high = np.maximum(at - (width - 1), 0), np.minimum(at + gram + width - 1, size[i])
-                    new = np.flatnonzero(np.concatenate([[True], low[1:] > high[:-1]]))
-                    for s, e in zip(new, np.append(new[1:], len(at)), strict=True):
-                        if high[e - 1] - low[s] >= passage:
-                            rows.append(a + i)
-                            starts.append(int(low[s]))
-                            bodies.append(h[begin[i] + low[s] : begin[i] + high[e - 1]].view(np.int64))
-                            shared.append(np.unique(x[at[s:e]]).view(np.int64))
-            if rows:
-                size = np.array([len(x) for x in bodies])
-                f1, f2 = _prints(np.concatenate(bodies).view(np.uint64), np.cumsum(size) - size, size)
-                take = pa.array(rows)
-                yield pa.RecordBatch.from_arrays(
-                    [batch[ROW].take(take), pa.array(starts, pa.int32()), pa.array(f1), pa.array(f2), pa.array(size.astype(np.int32)), _lists(bodies), _lists(shared)],
-                    [ROW, "start", "f1", "f2", "size", "body", "prints"],
-                )
+                k, asked = _asked(batch, a, b)
+                text, start, n, key, body = pieces(h, doc, b - a, passage, level, (k, *(asked.field(c).to_numpy() for c in ("start", "size"))))
+                yield pa.RecordBatch.from_arrays([batch[ROW].take(pa.array(text + a)), pa.array(key), pa.array(body), pa.array(start.astype(np.int32)), pa.array(n.astype(np.int32))], [ROW, "p", "f", "start", "size"])
+        release()
 
     return run
 
 
-def _pieces(passage: int):
-    """A region's surroundings of each shared print, as regions of their own under the print's key."""
-    gram, width = _split(passage)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            key, region, owner, offset, bodies = [], [], [], [], []
-            for k in range(b.num_rows):
-                body = b["body"][k].values.to_numpy()
-                x, _ = grams(body.view(np.uint64), np.zeros(len(body), np.int64), 1, gram)
-                x = x.view(np.int64)
-                for at in np.flatnonzero(np.isin(x, b["prints"][k].values.to_numpy())):
-                    low, high = max(0, int(at) - (width - 1)), min(len(body), int(at) + gram + width - 1)
-                    if high - low >= passage:
-                        key.append(int(x[at]))
-                        region.append(b["region"][k].as_py())
-                        owner.append(b["owner"][k].as_py())
-                        offset.append(low)
-                        bodies.append(body[low:high])
-            if key:
-                size = np.array([len(x) for x in bodies])
-                f1, f2 = _prints(np.concatenate(bodies).view(np.uint64), np.cumsum(size) - size, size)
-                numbers = [pa.array(x, pa.int64()) for x in (key, region, owner)]
-                yield pa.RecordBatch.from_arrays([*numbers, pa.array(offset, pa.int32()), pa.array(f1), pa.array(f2), _lists(bodies)], ["family", "region", "owner", "offset", "f1", "f2", "body"])
-
-    return run
+def _bodies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The word hashes of the pieces asked for."""
+    for batch in batches:
+        data, offsets = text_buffers(batch["text"])
+        for a, b in runs_of(offsets, 1 << 20):
+            h, doc, _, _ = words(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+            size = np.bincount(doc, minlength=b - a)
+            k, asked = _asked(batch, a, b)
+            n = asked.field("size").to_numpy().astype(np.int64)
+            flat = (np.cumsum(size) - size)[k] + asked.field("start").to_numpy()
+            at = np.arange(int(n.sum())) + np.repeat(flat - (np.cumsum(n) - n), n)
+            yield pa.RecordBatch.from_arrays([asked.field("p"), asked.field("f"), asked.field("owner"), *_lists(n, h[at].view(np.int64))], ["p", "f", "owner", "body"])
+    release()
 
 
 def repeats(bodies: list[np.ndarray], owner: np.ndarray, passage: int, spill: Spill) -> Iterator[tuple[int, int, int]]:
@@ -208,16 +224,21 @@ def _sorted_shards(passage: int, folder: str, limit: int):
                 cut = np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy())])
                 flat = lists.flatten().to_numpy()
                 bodies = [flat[x:y] for x, y in zip(cut[:-1], cut[1:], strict=True)]
-                region = part["region"].to_numpy()
                 found = list(repeats(bodies, part["owner"].to_numpy(), passage, spill))
                 spill.clear()
                 k, s, e = (np.array([f[c] for f in found], np.int64) for c in range(3))
-                yield pa.RecordBatch.from_arrays([pa.array(region[k] if len(k) else k), pa.array(s), pa.array(e)], ["region", "s", "e"])
+                yield pa.RecordBatch.from_arrays([part["p"].combine_chunks().take(pa.array(k)), part["f"].combine_chunks().take(pa.array(k)), pa.array(s), pa.array(e)], ["p", "f", "s", "e"])
 
     return run
 
 
-def repeated_passages(docs: DataFrame, passage: int = PASSAGE, shard_words: int = SHARD_WORDS, family_words: int = FAMILY_WORDS, limit: int = LIMIT) -> DataFrame:
+def _with_texts(d: DataFrame, asked: DataFrame) -> DataFrame:
+    """The texts of the rows that asked names, with the structs asked of each. asked: ROW and a struct column."""
+    lists = materialize(asked.groupBy(ROW).agg(F.collect_list("asked").alias("asked")), "asked")
+    return marked(d.select(ROW, "text"), lists.select(ROW), ROW, "left_semi").join(lists, ROW)
+
+
+def repeated_passages(docs: DataFrame, passage: int = PASSAGE, shard_words: int = SHARD_WORDS, group_words: int = GROUP_WORDS, limit: int = LIMIT) -> DataFrame:
     """(doc_id, start_word, end_word): the stretches of every document that repeat elsewhere: the union of all windows of
     `passage` words that also occur in another row, word numbers from 0, end excluded.
 
@@ -225,68 +246,64 @@ def repeated_passages(docs: DataFrame, passage: int = PASSAGE, shard_words: int
     stretch. Rows are documents, also rows that repeat or share a doc_id; a null doc_id is carried as null. Other
     columns are not read. An empty table gives no rows. Texts are read whole.
 
-    First, winnowing picks prints of each text such that any two equal passages of that length have one in common; text farther
-    from a shared print than the passage can reach repeats nowhere and is left. What remains, regions around shared
-    prints, goes into shards so that regions with a print in common meet: families (components) of regions are packed into shards of
-    about shard_words words, and a family of more than family_words is cut into the surroundings of each print, under
-    the print. Each shard's suffix array is built by external induced sorting (module induced), `limit` tuples in memory and
-    the rest in the shared folder, and neighbours' common prefixes of `passage` words or more give the stretches. Texts and regions that are
-    equal word by word are sorted once.
-
-    Scale: the corpus is read twice; what is shuffled is a print for every 13 words, and the regions.
+    First, every window goes into one piece of its text, under the least of the window's grams: the piece's print (see pieces). Equal
+    windows have equal prints, so only pieces under one print need be compared, and prints of one row only are left. A piece that
+    several rows have word by word repeats as a whole, and a print all of whose pieces are such is settled. The different
+    pieces of the other prints go into shards of about shard_words words, whole prints together. Each shard's suffix array is built by external
+    induced sorting (module induced), `limit` tuples in memory and the rest in the shared folder, and neighbours' common prefixes of
+    `passage` words or more give the stretches. A print whose different pieces have more than group_words words, as when a
+    passage stands in a third of all documents amid as many surroundings, is cut: its windows are halved by how far before the print
+    they begin, each half under all the words its windows share, again and again until the groups are small; at the last
+    step a group is one window and has one piece. Texts that are equal word by word are sorted once.
+
+    Scale: the corpus is read twice; a piece is some 13 windows, and what is shuffled is a few numbers a piece, then once each different
+    piece to be sorted and the texts that have one. No group of any kind is gathered in one task.
     """
     bounded(docs.sparkSession)
     d = numbered(docs.select("doc_id", "text"), "suffix-input").select(ROW, "doc_id", F.lower("text").alias("text"))
-    prints = materialize(d.select(ROW, "text").mapInArrow(_winnow(passage), f"{ROW} long, f1 long, f2 long, words int, prints array<long>"), "prints")
-    same = W.partitionBy("f1", "f2")
-    texts = prints.select(ROW, "f1", "f2", "words").withColumn("rep", F.min(ROW).over(same)).withColumn("copies", F.count(F.lit(1)).over(same))
-    texts = materialize(texts.select(ROW, "rep", "words", "copies"), "texts")
-    twins = texts.where(F.col(ROW) != F.col("rep")).select(ROW)
-    each = marked(prints.select(ROW, "prints"), twins, ROW, "left_anti").select(ROW, F.explode("prints").alias("p"))
-    twice = each.withColumn("n", F.count(F.lit(1)).over(W.partitionBy("p"))).where("n > 1")
-    twice = materialize(twice.groupBy(ROW).agg(F.collect_list("p").alias("prints")), "shared-prints")
-    some = marked(d.select(ROW, "text"), twice.select(ROW), ROW, "left_semi").join(twice, ROW)
-    schema = f"{ROW} long, start int, f1 long, f2 long, size int, body array<long>, prints array<long>"
-    regions = materialize(some.mapInArrow(_regions(passage), schema), "regions")
-    number = F.xxhash64(ROW, "start")
-    regions = regions.withColumn("id", number)
-    key = W.partitionBy("f1", "f2")
-    light = regions.join(texts.select(ROW, "copies"), ROW).select("id", ROW, "start", "size", "f1", "f2", "copies")
-    light = light.withColumn("region", F.min("id").over(key))
-    spread = F.max(ROW).over(key) != F.min(ROW).over(key)
-    light = materialize(light.withColumn("many", spread | (F.max("copies").over(key) > 1)).withColumn("twin", spread).drop("f1", "f2"), "region-classes")
-    single = light.where("id = region").select("id", "region", "size", F.when(F.col("many"), -F.abs("region") - 1).otherwise(F.col(ROW)).alias("owner"))
-    bodies = regions.select("id", "body", "prints").join(single, "id").select("region", "owner", "size", "body", "prints")
-    bodies = materialize(bodies, "region-bodies")
-    links = bodies.select("region", F.explode("prints").alias("p"))
-    links = links.withColumn("b", F.min("region").over(W.partitionBy("p"))).select(F.col("region").alias("a"), "b")
-    family = components(links).withColumnRenamed("id", "region").withColumnRenamed("component", "family")
-    sized = bodies.select("region", "size").join(family, "region").withColumn("total", F.sum("size").over(W.partitionBy("family")))
-    sized = materialize(sized, "families")
-    wide = "shard long, region long, owner long, body array<long>"
-    small = bodies.join(sized.where(F.col("total") <= family_words).select("region", "family"), "region").select("family", "region", "owner", "body")
-    large = bodies.join(sized.where(F.col("total") > family_words).select("region"), "region").mapInArrow(_pieces(passage), "family long, region long, owner long, offset int, f1 long, f2 long, body array<long>")
-    # Pieces that are equal word by word are sorted once; one that several owners have repeats as a whole.
-    large = large.withColumn("piece", F.xxhash64("family", "f1", "f2"))
-    places = materialize(large.select("piece", "region", "offset", F.size("body").alias("size")), "piece-places")
-    distinct = large.groupBy("family", "piece").agg(F.first("body").alias("body"), F.min("owner").alias("low"), F.max("owner").alias("high"))
-    distinct = materialize(distinct.withColumn("both", F.col("low") != F.col("high")), "pieces")
-    once = distinct.select("family", F.col("piece").alias("region"), F.when(F.col("both"), -F.abs("piece") - 1).otherwise(F.col("low")).alias("owner"), "body")
-    counted = [x.agg(F.sum(n)).first()[0] or 0 for x, n in ((sized.where(F.col("total") <= family_words), F.col("size")), (distinct, F.size("body")))]
-    shards = int(sum(counted) // shard_words) + 1
-    packed = small.unionByName(once).withColumn("shard", F.pmod(F.xxhash64("family"), F.lit(shards))).select(*[c.split()[0] for c in wide.split(", ")])
-    packed = packed.repartitionById(shards, F.col("shard").cast("int")).sortWithinPartitions("shard", "region")
+    schema = f"{ROW} long, f1 long, f2 long, words int, p array<long>, f array<long>, start array<int>, size array<int>"
+    texts = materialize(d.select(ROW, "text").mapInArrow(_winnow(passage), schema), "pieces")
+    same = texts.groupBy("f1", "f2").agg(F.min(ROW).alias("rep"), F.count(F.lit(1)).alias("n")).where("n > 1").select("f1", "f2", "rep")
+    copies = materialize(texts.select(ROW, "f1", "f2", "words").join(same, ["f1", "f2"]).select(ROW, "rep", "words"), "equal-texts")
+    once = marked(texts, copies.where(F.col(ROW) != F.col("rep")).select(ROW), ROW, "left_anti")
+
+    def shared(found: DataFrame, prints: DataFrame, level: int) -> DataFrame:
+        """Pieces whose print several rows have."""
+        keys = prints.groupBy("p").agg(F.min(ROW).alias("a"), F.max(ROW).alias("b")).where("a != b").select("p")
+        return materialize(marked(found, materialize(keys, f"prints-{level}"), "p", "left_semi"), f"shared-{level}")
+
+    flat = F.inline(F.arrays_zip("p", "f", "start", "size"))
+    found = shared(once.select(ROW, flat), once.select(ROW, F.explode("p").alias("p")), 0)
+    settled: list[tuple[DataFrame, DataFrame, DataFrame]] = []
+    for level in range(levels(passage) + 1):
+        kinds = found.groupBy("p", "f").agg(F.min(ROW).alias("low"), F.max(ROW).alias("high"), F.min(F.struct(ROW, "start", "size")).alias("one"))
+        kinds = materialize(kinds.withColumn("whole", F.col("low") != F.col("high")), f"kinds-{level}")
+        groups = kinds.groupBy("p").agg(F.count(F.lit(1)).alias("n"), F.sum("one.size").alias("words"), F.every("whole").alias("plain"))
+        groups = materialize(groups.where("n > 1 and not plain").select("p", "words"), f"groups-{level}")
+        wide = groups.where(F.col("words") > group_words).select("p")
+        if level < levels(passage) and wide.head(1):
+            settled.append((marked(found, wide, "p", "left_anti"), marked(kinds, wide, "p", "left_anti"), groups.where(F.col("words") <= group_words)))
+            asked = marked(found, wide, "p", "left_semi").select(ROW, F.struct("start", "size").alias("asked"))
+            finer = materialize(_with_texts(d, asked).select(ROW, "text", "asked").mapInArrow(_finer(passage, level + 1), f"{ROW} long, p long, f long, start int, size int"), f"finer-{level}")
+            found = shared(finer, finer, level + 1)
+        else:
+            settled.append((found, kinds, groups))
+            break
+    places, kinds, groups = (_union(parts) for parts in zip(*settled, strict=True))
+    todo = kinds.join(groups.select("p"), "p").withColumn("owner", F.when(F.col("whole"), F.lit(-1)).otherwise(F.col("low")))
+    shards = int((groups.agg(F.sum("words")).first()[0] or 0) // shard_words) + 1
+    asked = todo.select(F.col(f"one.{ROW}").alias(ROW), F.struct("p", "f", "owner", "one.start", "one.size").alias("asked"))
+    bodies = _with_texts(d, asked).select(ROW, "text", "asked").mapInArrow(_bodies, "p long, f long, owner long, body array<long>")
+    packed = bodies.withColumn("shard", F.pmod(F.xxhash64("p"), F.lit(shards)))
+    packed = packed.repartitionById(shards, F.col("shard").cast("int")).sortWithinPartitions("shard", "p", "f")
     folder = f"{shared_dir(docs.sparkSession)}/spill"
-    found = materialize(packed.mapInArrow(_sorted_shards(passage, folder, limit), "region long, s long, e long"), "stretches")
-    at = places.join(distinct.select("piece", "both"), "piece")
-    partly = at.where("not both").join(found.withColumnRenamed("region", "piece"), "piece").select("region", (F.col("offset") + F.col("s")).alias("s"), (F.col("offset") + F.col("e")).alias("e"))
-    wholly = at.where("both").select("region", F.col("offset").cast("long").alias("s"), (F.col("offset") + F.col("size")).cast("long").alias("e"))
-    found = found.union(partly).union(wholly)
-    # Regions that occur in several documents repeat as a whole; others by their suffixes. Then back to documents, united.
-    whole = light.where("twin").select(ROW, F.col("start").cast("long").alias("s"), (F.col("start") + F.col("size")).cast("long").alias("e"))
-    part = light.where("not twin").join(found, "region").select(ROW, (F.col("start") + F.col("s")).alias("s"), (F.col("start") + F.col("e")).alias("e"))
-    full = texts.where("copies > 1").select(ROW, F.lit(0).cast("long").alias("s"), F.col("words").cast("long").alias("e"))
-    one = whole.union(part).join(texts.where("copies = 1").select(ROW), ROW, "left_semi").union(full)
+    stretches = materialize(packed.mapInArrow(_sorted_shards(passage, folder, limit), "p long, f long, s long, e long"), "stretches")
+    # What is settled as a whole, and the stretches of the rest; from pieces back to rows, united.
+    wholly = kinds.where("whole").select("p", "f", F.lit(0).cast("long").alias("s"), F.col("one.size").cast("long").alias("e"))
+    partly = stretches.join(kinds.where("not whole").select("p", "f"), ["p", "f"], "left_semi")
+    part = places.join(wholly.union(partly), ["p", "f"]).select(ROW, (F.col("start") + F.col("s")).alias("s"), (F.col("start") + F.col("e")).alias("e"))
+    full = copies.select(ROW, F.lit(0).cast("long").alias("s"), F.col("words").cast("long").alias("e"))
+    one = marked(part, copies.select(ROW), ROW, "left_anti").union(full)
     order = W.partitionBy(ROW).orderBy("s", "e")
     one = one.withColumn("top", F.max("e").over(order.rowsBetween(W.unboundedPreceding, -1)))
     one = one.withColumn("g", F.sum(F.when(F.col("s") <= F.col("top"), 0).otherwise(1)).over(order.rowsBetween(W.unboundedPreceding, 0)))
@@ -294,6 +311,13 @@ def repeated_passages(docs: DataFrame, passage: int = PASSAGE, shard_words: int
     return d.select(ROW, "doc_id").join(one, ROW).select("doc_id", "start_word", "end_word")
 
 
+def _union(parts: tuple[DataFrame, ...]) -> DataFrame:
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_passages(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
