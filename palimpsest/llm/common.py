@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import re
+import shutil
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -26,7 +28,8 @@ BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "1000"), "spa
 
 
 def bounded(spark: SparkSession) -> None:
-    """Bound the batches that Python gets: texts may be long, and 10,000 of them at a time fill an executor. Set values stay."""
+    """Bound the batches that Python gets, for the rest of the session: texts may be long, and 10,000 of them at a time fill an
+    executor. Values that the caller has set stay."""
     for key, (usual, ours) in BATCH.items():
         if spark.conf.get(key, usual) == usual:
             spark.conf.set(key, ours)
@@ -44,17 +47,31 @@ def release() -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir of the session, or one of our own where it is unset."""
+    """The folder that all executors share: spark.checkpoint.dir of the session. Where that is unset and all runs in one
+    process, as in tests, a temporary folder that goes when the process ends; on a cluster it must be set."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     app = spark.sparkContext.applicationId
     if not folder:
         if app not in _own:
-            _own[app] = "file://" + tempfile.mkdtemp(prefix="palimpsest-")
+            if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+                raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+            made = tempfile.mkdtemp(prefix="palimpsest-")
+            atexit.register(shutil.rmtree, made, ignore_errors=True)
+            _own[app] = "file://" + made
             spark.sparkContext.setCheckpointDir(_own[app])
         folder = _own[app]
     return f"{folder.rstrip('/')}/palimpsest-{app}"
 
 
+def own_names(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """docs with its columns that begin as those we add do (_pl_) under other names, and the names to give back at the end."""
+    mark = "own"
+    while any(c.lower().startswith(mark) for c in docs.columns):
+        mark += "_"
+    away = {c: f"{mark}{i}" for i, c in enumerate(docs.columns) if c.lower().startswith("_pl_")}
+    return docs.withColumnsRenamed(away), {v: k for k, v in away.items()}
+
+
 def fresh_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
@@ -67,7 +84,12 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
 
 
 def stable(df: DataFrame, label: str) -> DataFrame:
-    """df itself if it is a plain scan, whose partitions and row order repeat on every run; else a written copy of it."""
+    """df itself if its plan has none but nodes of _STABLE, a plain scan, whose partitions and row order repeat on every run; else, at
+    the cost of one more write, a copy of it. Spark splits small files by the number of cores at hand, which changes as executors come
+    and go, so where spark.sql.files.minPartitionNum is unset it is set to that of now."""
+    least = "spark.sql.files.minPartitionNum"
+    if not df.sparkSession.conf.get(least, None):
+        df.sparkSession.conf.set(least, str(df.sparkSession.sparkContext.defaultParallelism))
     plan = df._jdf.queryExecution().optimizedPlan().toString()
     names = {m[1] for line in plan.splitlines() if (m := re.match(r"[\s:+\-]*([A-Za-z]+)", line))}
     return df if names <= _STABLE else materialize(df, label)

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ROW, bounded, chunked, marked, materialize, numbered, pairs_within, release, runs_of, text_buffers, whole_groups
+from .common import ROW, bounded, chunked, marked, materialize, numbered, own_names, pairs_within, release, runs_of, text_buffers, whole_groups
 from .components import components, labels_of
 from .grams import grams, words
 
@@ -122,7 +122,7 @@ def _sets(n: int):
                 each = [np.unique(g[at[i] : at[i + 1]]).view(np.int64) for i in range(b - a)]
                 ends = np.concatenate([[0], np.cumsum([len(x) for x in each])]).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(each)))
-                yield pa.RecordBatch.from_arrays([batch[ROW].slice(a, b - a), batch["component"].slice(a, b - a), lists], [ROW, "component", "grams"])
+                yield pa.RecordBatch.from_arrays([*(batch[c].slice(a, b - a) for c in (ROW, "component", "copies")), lists], [ROW, "component", "copies", "grams"])
         release()
 
     return run
@@ -147,6 +147,9 @@ def shared(values: np.ndarray, owner: np.ndarray, m: int) -> np.ndarray:
 
 
 def _verify(threshold: float):
+    """A row for each representative with a link: the least one that it is linked with here, directly or through others,
+    and how many rows those stand for that it is linked with directly."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t, group in whole_groups(batches, ["component", "_lo", "_hi"], 256):
             ids, lists = t[ROW].to_numpy(), t["grams"].combine_chunks() if isinstance(t["grams"], pa.ChunkedArray) else t["grams"]
@@ -154,30 +157,32 @@ def _verify(threshold: float):
             flat = lists.flatten().to_numpy()
             begin = np.concatenate([[0], np.cumsum(sizes)])
             side, apart = t["_side"].to_numpy(), t["_lo"].to_numpy() != t["_hi"].to_numpy()
-            out_a, out_b, out_j = [], [], []
+            copies = t["copies"].to_numpy()
+            out_id, out_low, out_n = [], [], []
             for g in np.unique(group):
                 lo, hi = np.searchsorted(group, [g, g + 1])
                 m = hi - lo
                 both = shared(flat[begin[lo] : begin[hi]], np.repeat(np.arange(m), sizes[lo:hi]), m)
                 size = sizes[lo:hi]
-                j = both / np.maximum(size[:, None] + size[None, :] - both, 1)
-                ok = j >= threshold
+                ok = both / np.maximum(size[:, None] + size[None, :] - both, 1) >= threshold
                 if apart[lo]:
                     ok &= side[lo:hi][:, None] != side[lo:hi][None, :]
                 x, y = np.nonzero(np.triu(ok, 1))
-                a, b = ids[lo + x], ids[lo + y]
-                out_a.append(np.minimum(a, b))
-                out_b.append(np.maximum(a, b))
-                out_j.append(j[x, y])
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out_a)), pa.array(np.concatenate(out_b)), pa.array(np.concatenate(out_j))], ["a", "b", "jaccard"])
+                n = np.bincount(np.concatenate([x, y]), np.concatenate([copies[lo + y], copies[lo + x]]), m)
+                v, low = labels_of(x, y)
+                out_id.append(ids[lo + v])
+                out_low.append(ids[lo + low])
+                out_n.append(n[v].astype(np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x), pa.int64()) for x in (out_id, out_low, out_n)], ["id", "low", "links"])
         release()
 
     return run
 
 
-def join_rows(d: DataFrame, threshold: float = THRESHOLD, n: int = GRAM, tolerance: float = TOLERANCE, chunk: int = 1024) -> tuple[DataFrame, DataFrame]:
-    """d: ROW and text. (pairs, members): pairs (a, b, jaccard) of representatives' rows; members (ROW, rep) for each row
-    with a word, rows of equal word sequences having one representative."""
+def join_rows(d: DataFrame, threshold: float = THRESHOLD, n: int = GRAM, tolerance: float = TOLERANCE, chunk: int = 1024) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """d: ROW and text. (members, links, families). members (ROW, rep) for each row with a word, rows of equal word
+    sequences having one representative; links (rep, links): how many rows of other texts a representative is linked with; families
+    (rep, component) of the representatives that have a link."""
     bounded(d.sparkSession)
     low = d.select(ROW, F.lower("text").alias("text"))
     sigs = materialize(low.mapInArrow(_signatures(n), f"{ROW} long, f1 long, f2 long, sig binary"), "signatures")
@@ -187,15 +192,21 @@ def join_rows(d: DataFrame, threshold: float = THRESHOLD, n: int = GRAM, toleran
     unlike = marked(sigs.select(ROW, "sig"), copies, ROW, "left_anti")
     keyed = materialize(chunked(unlike.mapInArrow(_bands, f"{ROW} long, key long"), "key", ROW, chunk), "bands")
     near = keyed.join(unlike, ROW).repartition("key", "_lo", "_hi").sortWithinPartitions("key", "_lo", "_hi", ROW)
-    families = components(near.mapInArrow(_prune(threshold, tolerance), "a long, b long")).withColumnRenamed("id", ROW)
-    sets = marked(low, families, ROW, "inner").select(ROW, "component", "text").mapInArrow(_sets(n), f"{ROW} long, component long, grams array<long>")
+    likely = components(near.mapInArrow(_prune(threshold, tolerance), "a long, b long")).withColumnRenamed("id", ROW)
+    times = members.groupBy("rep").agg(F.count(F.lit(1)).alias("copies")).withColumnRenamed("rep", ROW)
+    likely = materialize(likely.join(times, ROW), "likely")
+    sets = marked(low, likely, ROW, "inner").select(ROW, "component", "copies", "text").mapInArrow(_sets(n), f"{ROW} long, component long, copies long, grams array<long>")
     sets = chunked(sets, "component", ROW, chunk).repartition("component", "_lo", "_hi").sortWithinPartitions("component", "_lo", "_hi", ROW)
-    pairs = sets.mapInArrow(_verify(threshold), "a long, b long, jaccard double")
-    return materialize(pairs, "jaccard-pairs"), members
+    found = materialize(sets.mapInArrow(_verify(threshold), "id long, low long, links long"), "links")
+    families = components(found.select(F.col("id").alias("a"), F.col("low").alias("b"))).withColumnRenamed("id", "rep")
+    return members, found.groupBy(F.col("id").alias("rep")).agg(F.sum("links").alias("links")), families
+
 
+def near_copies(docs: DataFrame, threshold: float = THRESHOLD, n: int = GRAM, tolerance: float = TOLERANCE, chunk: int = 1024) -> DataFrame:
+    """(doc_id, class_id, links): for every row of docs, the class it belongs to and how many other rows it is linked with.
 
-def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD, n: int = GRAM, tolerance: float = TOLERANCE) -> DataFrame:
-    """(doc_a, doc_b, jaccard): all pairs doc_a < doc_b whose sets of word n-grams have a Jaccard similarity >= threshold.
+    Two rows are linked if the Jaccard similarity of their sets of word n-grams is >= threshold; a class is what links connect, directly
+    or through others, and class_id its least doc_id (null if it has none). A row without a link is a class by itself, with 0 links.
 
     Words are runs of ASCII letters and digits and of other non-ASCII characters, in lower case; a text of fewer than n
     words has one gram. Texts of equal words are found by a fingerprint and compared as one. For the rest, 128 MinHash
@@ -203,47 +214,52 @@ def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD, n: int = GRAM, t
     compared 32 at a time and a pair is dropped once the posterior probability of reaching the threshold is below `tolerance`.
     The families that the remaining pairs form are verified exactly, each pair within.
 
-    Null and empty texts and texts without a word have no partner. Rows with a null doc_id are searched but cannot be
-    named, so their pairs are left out. Where doc_id repeats, a pair of ids has its best similarity, and no pair with itself.
-    Very long texts are read whole. Other columns are not read. An empty table gives no rows.
+    Null and empty texts and texts without a word have no links. Rows with a null doc_id are searched and counted like others. Where
+    doc_id repeats, each row counts. Very long texts are read whole. Other columns are not read. An empty table gives no rows.
 
     Scale: the corpus is read twice and never shuffled as text (unless more than two million documents have a near copy); buckets and families
-    of any size are split into chunks whose pairs of chunks run in parallel. The result is quadratic in the size of a family of copies.
+    of any size are split into chunks whose pairs of chunks run in parallel. A task gives counts and a forest, not its pairs, so
+    the result and what is shuffled grow as the rows; the comparisons within a family of different texts grow as its square.
     """
     d = numbered(docs.select("doc_id", "text"), "jaccard-input")
-    pairs, members = join_rows(d, threshold, n, tolerance)
-    ids = d.select(ROW, F.col("doc_id").cast("long").alias("doc_id"))
-    named = materialize(ids.join(members, ROW).where("doc_id is not null").select("rep", "doc_id").distinct(), "named")
-    a, b = named.toDF("a", "doc_a"), named.toDF("b", "doc_b")
-    across = pairs.join(a, "a").join(b, "b").select("doc_a", "doc_b", "jaccard")
-    within = named.toDF("rep", "doc_a").join(named.toDF("rep", "doc_b"), "rep").where("doc_a < doc_b").select("doc_a", "doc_b", F.lit(1.0).alias("jaccard"))
-    every = across.union(within).where("doc_a != doc_b").select(F.least("doc_a", "doc_b").alias("doc_a"), F.greatest("doc_a", "doc_b").alias("doc_b"), "jaccard")
-    return every.groupBy("doc_a", "doc_b").agg(F.max("jaccard").alias("jaccard"))
+    members, links, families = join_rows(d, threshold, n, tolerance, chunk)
+    times = members.groupBy("rep").agg(F.count(F.lit(1)).alias("n"))
+    each = times.join(links, "rep", "left").join(families, "rep", "left")
+    each = each.select("rep", F.coalesce("component", "rep").alias("class"), (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("links"))
+    rows = d.select(ROW, F.col("doc_id").cast("long").alias("doc_id")).join(members.join(each, "rep"), ROW, "left")
+    rows = materialize(rows.select("doc_id", F.coalesce("class", ROW).alias("class"), F.coalesce("links", F.lit(0)).alias("links")), "classed")
+    least = rows.where("links > 0").groupBy("class").agg(F.min("doc_id").alias("class_id"))
+    return rows.join(least, "class", "left").select("doc_id", F.when(F.col("links") > 0, F.col("class_id")).otherwise(F.col("doc_id")).alias("class_id"), "links")
 
 
 def one_of_each(docs: DataFrame, threshold: float = THRESHOLD, n: int = GRAM) -> DataFrame:
     """docs without the rows that are a near copy of another: of each group that the join links, directly or through others,
-    the row of the least doc_id stays (null last; the first read, among rows of equal doc_id). Texts without a word all stay."""
+    the row of the least doc_id stays (null last; the first read, among rows of equal doc_id). Texts without a word all stay, null and
+    empty ones too. All columns of docs stay as they are. An empty table gives an empty table."""
+    docs, names = own_names(docs)
     d = numbered(docs, "dedup-input")
-    pairs, members = join_rows(d.select(ROW, "text"), threshold, n)
-    families = components(pairs.select("a", "b"))
-    grouped = members.join(families, F.col("rep") == F.col("id"), "left").select(ROW, F.coalesce("component", "rep").alias("g"))
+    members, _, families = join_rows(d.select(ROW, "text"), threshold, n)
+    grouped = members.join(families, "rep", "left").select(ROW, F.coalesce("component", "rep").alias("g"))
     grouped = grouped.join(d.select(ROW, "doc_id"), ROW)
     kept = grouped.groupBy("g").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", ROW)).alias("m"))
     losers = materialize(grouped.join(kept, "g").where(F.col(ROW) != F.col(f"m.{ROW}")).select(ROW), "losers")
-    return marked(d, losers, ROW, "left_anti").drop(ROW)
+    return marked(d, losers, ROW, "left_anti").drop(ROW).withColumnsRenamed(names)
 
 
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_join(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return near_copies(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
 SQL = r"""
-WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^a-z0-9\x{80}-\x{10FFFF}]+'), lambda x: x != '') AS w FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL),
-g AS (SELECT row_number() OVER () AS r, doc_id, list_distinct(CASE WHEN len(w) < 3 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) END) AS g FROM w WHERE len(w) > 0),
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, doc_id, text FROM documents),
+w AS (SELECT r, list_filter(regexp_split_to_array(lower(text), '[^a-z0-9\x{80}-\x{10FFFF}]+'), lambda x: x != '') AS w FROM d WHERE text IS NOT NULL),
+g AS (SELECT r, list_distinct(CASE WHEN len(w) < 3 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) END) AS g FROM w WHERE len(w) > 0),
 e AS (SELECT r, unnest(g) AS x FROM g),
 c AS (SELECT a.r AS ra, b.r AS rb, count(*) AS n FROM e a JOIN e b ON a.x = b.x AND a.r < b.r GROUP BY 1, 2),
-j AS (SELECT least(a.doc_id, b.doc_id) AS doc_a, greatest(a.doc_id, b.doc_id) AS doc_b, CAST(n AS DOUBLE) / (len(a.g) + len(b.g) - n) AS jaccard
-    FROM c JOIN g a ON a.r = ra JOIN g b ON b.r = rb WHERE a.doc_id != b.doc_id)
-SELECT doc_a, doc_b, max(jaccard) AS jaccard FROM j WHERE jaccard >= 0.5 GROUP BY 1, 2
+j AS MATERIALIZED (SELECT ra, rb FROM c JOIN g a ON a.r = ra JOIN g b ON b.r = rb WHERE CAST(n AS DOUBLE) / (len(a.g) + len(b.g) - n) >= 0.5),
+s AS MATERIALIZED (SELECT ra AS x, rb AS y FROM j UNION ALL SELECT rb, ra FROM j),
+reach AS (SELECT x, y FROM s UNION SELECT reach.x, s.y FROM reach JOIN s ON reach.y = s.x),
+k AS (SELECT x, min(doc_id) AS least FROM reach JOIN d ON d.r = y GROUP BY x),
+n AS (SELECT x, count(*) AS links FROM s GROUP BY x)
+SELECT doc_id, CASE WHEN links > 0 THEN least ELSE doc_id END AS class_id, coalesce(links, 0) AS links FROM d LEFT JOIN k ON k.x = r LEFT JOIN n ON n.x = r
 """

@@ -215,22 +215,44 @@ def near_copies(seed=0, n=120):
     return rows
 
 
-def test_jaccard_join_matches_brute_force(spark):
+def brute_classes(texts, ids, threshold=0.5):
+    """(doc_id, class_id, links) by comparing all pairs of rows."""
+    sets = [gram_set(t) for t in texts]
+    near = [[j for j in range(len(sets)) if j != i and sets[i] and sets[j] and len(sets[i] & sets[j]) / len(sets[i] | sets[j]) >= threshold] for i in range(len(sets))]
+    out = []
+    for i in range(len(sets)):
+        seen, todo = {i}, [i]
+        while todo:
+            new = [j for j in near[todo.pop()] if j not in seen]
+            seen.update(new)
+            todo += new
+        out.append((ids[i], min((ids[j] for j in seen if ids[j] is not None), default=None), len(near[i])))
+    return Counter(out)
+
+
+@pytest.mark.parametrize("chunk", [1024, 3])
+def test_near_copies_match_brute_force(spark, chunk):
     rows = near_copies()
-    got = {(r["doc_a"], r["doc_b"]): r["jaccard"] for r in jaccard.jaccard_join(spark.createDataFrame(rows, DOCS)).collect()}
-    sets = {r[0]: gram_set(r[1]) for r in rows}
-    want = {(a, b): len(sets[a] & sets[b]) / len(sets[a] | sets[b]) for a, b in itertools.combinations(sets, 2)}
-    want = {k: v for k, v in want.items() if v >= 0.5}
-    assert len(want) > 30 and set(got) <= set(want) and len(got) >= 0.95 * len(want)
-    assert all(got[k] == pytest.approx(want[k]) for k in got)
+    rows += [(900 + i, rows[i % 7][1], "en", "s", 9) for i in range(20)]  # groups of equal texts
+    got = Counter(map(tuple, jaccard.near_copies(spark.createDataFrame(rows, DOCS), chunk=chunk).collect()))
+    want = brute_classes([r[1] for r in rows], [r[0] for r in rows])
+    assert sum(links > 0 for _, _, links in want) > 60 and got == want
+
+
+def test_near_copies_at_the_threshold(spark):
+    # 1 2 3 and 2 3 4 of four and five words: two grams of which one is shared, 1/3; then 2 of 4, exactly 1/2.
+    texts = ["a b c d", "b c d e", "p q r s t", "p q r s u", "p q r s t"]
+    got = jaccard.near_copies(spark.createDataFrame([(i, t, "en", "s", 1) for i, t in enumerate(texts)], DOCS)).collect()
+    assert Counter(map(tuple, got)) == brute_classes(texts, list(range(5))) == Counter([(0, 0, 0), (1, 1, 0), (2, 2, 2), (3, 2, 2), (4, 2, 2)])
 
 
 def test_jaccard_edge_cases(docs, none):
-    got = {(r["doc_a"], r["doc_b"]): r["jaccard"] for r in jaccard.jaccard_join(clash(docs, "component", "a", "rep", "sig")).collect()}
-    assert set(got) == {(1, 2), (1, 3), (2, 3)} and got[1, 2] == 1.0
-    assert jaccard.jaccard_join(none).collect() == []
-    kept = jaccard.one_of_each(clash(docs, "component")).collect()
-    assert sorted((r["doc_id"] or 0) for r in kept) == [0, 1, 4, 5, 6, 7, 8] and "component" in kept[0].asDict()
+    got = jaccard.near_copies(clash(docs, "component", "a", "rep", "sig", "_pl_row", "links")).collect()
+    assert Counter(map(tuple, got)) == brute_classes([r[1] for r in doc_rows()], [r[0] for r in doc_rows()])
+    assert (2, 1, 3) in map(tuple, got) and (4, 4, 0) in map(tuple, got) and (None, None, 0) in map(tuple, got)
+    assert jaccard.near_copies(none).collect() == []
+    kept = jaccard.one_of_each(clash(docs, "component", "_pl_row")).collect()
+    assert sorted((r["doc_id"] or 0) for r in kept) == [0, 1, 4, 5, 6, 7, 8] and all(r["component"] == r["_pl_row"] == "own" for r in kept)
     assert jaccard.one_of_each(none).collect() == []
 
 
