@@ -32,7 +32,12 @@ def _open(uri: str):
 
 
 def _plain(key: str) -> str:
-    return key.replace("\t", "%09").replace("\n", "%0A")
+    """The key as it stands in lines, blocks and the directory, and as it is sorted: without tab and line end, each key its own."""
+    return key.replace("%", "%25").replace("\t", "%09").replace("\n", "%0A")
+
+
+def _plain_column(key: Column) -> Column:
+    return F.replace(F.replace(F.replace(key, F.lit("%"), F.lit("%25")), F.lit("\t"), F.lit("%09")), F.lit("\n"), F.lit("%0A"))
 
 
 class CaptureIndex:
@@ -52,7 +57,7 @@ class CaptureIndex:
         spark = captures.sparkSession
         path = path or fresh_path(spark, "captures")
         line = F.to_json(F.struct(*[c for c in captures.columns if c != "key"]), {"ignoreNullFields": "false"}).alias("line")
-        rows = captures.where("key is not null").select("key", line)
+        rows = captures.where("key is not null").select(_plain_column(F.col("key")).alias("key"), line)
         rows = rows.repartitionByRange("key", "line").sortWithinPartitions("key", "line")
 
         def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -70,7 +75,7 @@ class CaptureIndex:
 
             for b in batches:
                 for kv in zip(b["key"].to_pylist(), b["line"].to_pylist(), strict=True):
-                    held.append((_plain(kv[0]), kv[1]))
+                    held.append(kv)
                     if len(held) == block_lines:
                         flush()
             if held:
@@ -86,16 +91,18 @@ class CaptureIndex:
         """(key, captures, first_id, last_id) for each distinct non-null key of queries (key STRING); 0 and nulls where it has none.
 
         Keys are range-partitioned and sorted. Each task fetches the directory entries that overlap its own range of keys (a
-        filtered scan, not a broadcast), binary-searches them for each key, and range-reads the blocks found, one at a time.
+        filtered scan of the directory files whose range meets it, not a broadcast), binary-searches them for each key, and range-reads
+        the blocks found, one at a time. The driver knows the range of each directory file, a row for each task that built the index.
         """
-        path, folder = self.path, self.directory.inputFiles()
-        keys = queries.select("key").where("key is not null").distinct().repartitionByRange("key").sortWithinPartitions("key")
+        path, folder = self.path, self.ranges()
+        keys = queries.select("key", _plain_column(F.col("key")).alias("plain")).where("key is not null").distinct()
+        keys = keys.repartitionByRange("plain").sortWithinPartitions("plain")
 
         def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             fs, root = _open(path)
             reader = None
             for b in batches:
-                want = b["key"].to_pylist()
+                want = b["plain"].to_pylist()
                 if want:
                     reader = reader or BlockReader(fs, root, folder)
                     reader.cover(want[0], want[-1])
@@ -107,16 +114,21 @@ class CaptureIndex:
     def lookup(self, url_key: str) -> list[dict]:
         """The captures of one key, read by the driver: the blocks whose range holds it, and nothing else."""
         fs, root = _open(self.path)
-        reader = BlockReader(fs, root, self.directory.inputFiles())
-        reader.cover(url_key, url_key)
-        return [json.loads(x) for x in reader.lines(url_key)]
+        reader, key = BlockReader(fs, root, self.ranges()), _plain(url_key)
+        reader.cover(key, key)
+        return [json.loads(x) for x in reader.lines(key)]
+
+    def ranges(self) -> list[tuple[str, str, str]]:
+        """(file, first key, last key) of each file of the directory."""
+        per = self.directory.groupBy(F.input_file_name().alias("f")).agg(F.min("first_key").alias("a"), F.max("last_key").alias("b"))
+        return [tuple(r) for r in per.collect()]
 
 
 class BlockReader:
     """Looks keys up in ascending order; holds one decompressed block, and the part of the directory from there on."""
 
-    def __init__(self, fs, root: str, files: list[str]):
-        self.fs, self.root, self.files = fs, root, sorted(files)
+    def __init__(self, fs, root: str, files: list[tuple[str, str, str]]):
+        self.fs, self.root, self.files, self.open = fs, root, sorted(files), {}
         self.first: list[str] = []
         self.entries: list[tuple] = []
         self.at, self.block, self.name = None, [], []
@@ -125,18 +137,18 @@ class BlockReader:
         """Fetch the directory entries whose range of keys meets [low, high]; Parquet statistics skip the rest."""
         import pyarrow.dataset as ds
 
-        low, high = _plain(low), _plain(high)
-        if not self.files:
-            return
-        fs, _ = _open(self.files[0])
-        table = ds.dataset([_open(f)[1] for f in self.files], filesystem=fs, format="parquet")
-        got = table.to_table(filter=(ds.field("last_key") >= low) & (ds.field("first_key") <= high))
-        got = got.sort_by([("first_key", "ascending"), ("last_key", "ascending")]).to_pylist()
+        got, still = [], {}
+        for name, first, last in self.files:
+            if first <= high and last >= low:  # a file stays open from batch to batch while it is needed
+                fs, at = _open(name)
+                still[name] = self.open.get(name) or ds.dataset(at, filesystem=fs, format="parquet")
+                got += still[name].to_table(filter=(ds.field("last_key") >= low) & (ds.field("first_key") <= high)).to_pylist()
+        self.open = still
+        got.sort(key=lambda e: (e["first_key"], e["last_key"]))
         self.entries = [(e["first_key"], e["last_key"], e["file"], e["offset"], e["length"]) for e in got]
         self.first = [e[0] for e in self.entries]
 
     def lines(self, key: str) -> Iterator[str]:
-        key = _plain(key)
         i = max(0, bisect.bisect_left(self.first, key) - 1)
         while i < len(self.entries) and self.first[i] <= key:
             if self.entries[i][1] >= key:
@@ -174,7 +186,9 @@ def op1_capture_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Index all pages, then resolve the URL of every page through the index.
 
     Rows: key, captures, first_id, last_id for each distinct key. Pages with a null url have none; repeated URLs and rows are
-    further captures of their key; a url without a host is its own key in lower case; null html has null length and digest.
+    further captures of their key; a url without a host is its own key in lower case, an empty one the empty key; null html has null length
+    and digest. Keys of any length and with any character, tab and line end too, are kept apart. An empty table gives no rows. Other
+    columns are not read.
     """
     captures = captures_of(spark.read.parquet(f"{sf_dir}/pages.parquet"))
     index = CaptureIndex.build(captures)
