@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded, materialize, release
+from .common import bounded, materialize, own_names, release
 
 #: What may be an identifier: a phone number, card or IBAN in several words, or a word with a digit or an @, without punctuation at its ends.
 MENTION = re.compile(
@@ -63,7 +63,7 @@ def shape(text: str) -> str:
 
 
 def mentions(text: str) -> Iterator[tuple[int, int, str, str, str]]:
-    """(start, end, mention, the two words before, the word after), in lower case the words; on its line only."""
+    """(start, end, mention, the two words before, the word after), in lower case the words, of any length; on its line only."""
     at = 0
     while sign := _SIGN.search(text, at):
         p = first = sign.start()
@@ -77,9 +77,37 @@ def mentions(text: str) -> Iterator[tuple[int, int, str, str, str]]:
             at = p + 1
             continue
         start, at = found.span()
-        before = text[max(begin, start - 120) : start].lower().replace('"', " ").replace("'", " ").split()[-2:]
-        after = text[at : min(stop, at + 60)].lower().lstrip("\"'").split()[:1]
-        yield start, at, found.group(), " ".join(before), " ".join(after)
+        yield start, at, found.group(), " ".join(reversed(_words(text, start, begin, -1, 2))), " ".join(_words(text, at, stop, 1, 1))
+
+
+def _words(text: str, at: int, end: int, step: int, most: int) -> list[str]:
+    """Up to `most` words of any length next to `at`, towards `end`, nearest first, in lower case. Words end at white space, quotes,
+    commas, brackets and the like, so that each word of a line is read for its neighbouring mentions only."""
+    out = []
+    while len(out) < most:
+        edge = (_right if step > 0 else _left)(text, at, end)
+        if edge is None:
+            break
+        out.append(text[edge[0] : edge[1]].lower())
+        at = edge[1] if step > 0 else edge[0]
+    return out
+
+
+_NEXT = re.compile(r"[^\s\"'<>|,;()\[\]{}]+")
+
+
+def _right(text: str, at: int, end: int) -> tuple[int, int] | None:
+    found = _NEXT.search(text, at, end)
+    return found.span() if found else None
+
+
+def _left(text: str, at: int, begin: int) -> tuple[int, int] | None:
+    while at > begin and (text[at - 1] in _EDGE or text[at - 1].isspace()):
+        at -= 1
+    first = at
+    while first > begin and not (text[first - 1] in _EDGE or text[first - 1].isspace()):
+        first -= 1
+    return (first, at) if first < at else None
 
 
 def coarse(text: str) -> str:
@@ -224,6 +252,7 @@ def identifiers(docs: DataFrame, rounds: int = 3, support: int = 3, trust: float
 def redact(docs: DataFrame, rounds: int = 3, support: int = 3, trust: float = 0.8) -> DataFrame:
     """docs with each identifier in text replaced by its kind in angle brackets, and n_chars, if there is one, set to the
     new length where the text changed. No row goes; null and empty texts stay as they are."""
+    docs, names = own_names(docs)
     d = extract(docs, bootstrap(docs, rounds, support, trust))
     size = F.size("_pl_found")
 
@@ -238,7 +267,7 @@ def redact(docs: DataFrame, rounds: int = 3, support: int = 3, trust: float = 0.
     for c in docs.columns:
         if c.lower() == "n_chars":
             d = d.withColumn(c, F.when(size > 0, F.length("_pl_text").cast(d.schema[c].dataType)).otherwise(F.col(c)))
-    return d.withColumn("text", F.col("_pl_text")).select(*docs.columns)
+    return d.withColumn("text", F.col("_pl_text")).select(*docs.columns).withColumnsRenamed(names)
 
 
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
