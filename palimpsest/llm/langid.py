@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import bounded, release, text_buffers
+from .common import bounded, own_names, release, text_buffers
 
 WINDOW = 96
 """Bytes that the network reads in one go; a text is tiled by windows, and both directions start anew in each."""
@@ -126,19 +126,27 @@ class Network:
                 self.p[k] = (self.p[k] - step * (m[k] / (1 - 0.9**s)) / (np.sqrt(v[k] / (1 - 0.99**s)) + 1e-6)).astype(np.float32)
 
 
-def windows(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Time-major windows (WINDOW x B, padded with 0), the text of each, and how many of its bytes count."""
+def places(offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The windows that texts are cut into, each text from its own beginning: text, first byte and number of bytes."""
     size = np.diff(offsets)
     per = -(-size // WINDOW)
     doc = np.repeat(np.arange(len(size)), per)
-    nth = np.arange(len(doc)) - np.repeat(np.cumsum(per) - per, per)
-    start = offsets[:-1][doc] + nth * WINDOW
-    count = np.minimum(WINDOW, offsets[1:][doc] - start)
-    padded = np.concatenate([data, np.zeros(WINDOW, np.uint8)])
-    view = np.lib.stride_tricks.sliding_window_view(padded, WINDOW)[start] if len(start) else np.zeros((0, WINDOW), np.uint8)
-    x = np.ascontiguousarray(view.T)
+    start = offsets[:-1][doc] + (np.arange(len(doc)) - np.repeat(np.cumsum(per) - per, per)) * WINDOW
+    return doc, start, np.minimum(WINDOW, offsets[1:][doc] - start)
+
+
+def filled(data: np.ndarray, start: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """Time-major windows, WINDOW x B, padded with 0."""
+    at = np.minimum(np.arange(WINDOW)[:, None] + start[None, :], max(0, len(data) - 1))
+    x = data[at] if len(data) else np.zeros(at.shape, np.uint8)
     x[np.arange(WINDOW)[:, None] >= count[None, :]] = 0
-    return x, doc, count
+    return x
+
+
+def windows(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All windows of texts, the text of each, and how many of its bytes count."""
+    doc, start, count = places(offsets)
+    return filled(data, start, count), doc, count
 
 
 def sample(docs: DataFrame, rows: int, seed: int) -> pa.Table:
@@ -177,31 +185,34 @@ def train(docs: DataFrame, rows: int = TRAIN_ROWS, steps: int = 260, seed: int =
 
 
 def _pool(net: Network, data: np.ndarray, offsets: np.ndarray, columns: int = 2048) -> tuple[np.ndarray, np.ndarray]:
-    """Summed log-probabilities of each text's positions by language, and the label of every byte."""
+    """Summed log-probabilities of each text's positions by language, and the label of every byte. `columns` windows are scored at
+    a time; a text's windows are its own, whatever it is scored with."""
     texts, langs = len(offsets) - 1, len(net.languages)
-    total, labels = np.zeros((texts, langs)), np.empty(len(data), np.uint8)
-    for a in range(0, len(data), 8 << 20):  # of long runs of text, some megabytes at a time
-        b = min(len(data), a + (8 << 20))
-        first, last = np.searchsorted(offsets, a, side="right") - 1, np.searchsorted(offsets, b, side="left")
-        cut = np.clip(offsets[first : last + 1], a, b) - a
-        x, doc, count = windows(data[a:b], cut)
-        flat = np.empty((len(doc), WINDOW), np.uint8)
-        for c in range(0, len(doc), columns):
-            s = net.scores(x[:, c : c + columns])
-            flat[c : c + columns] = s.argmax(1).T
-            s -= s.max(1, keepdims=True)
-            s -= np.log(np.exp(s).sum(1, keepdims=True))
-            s *= (np.arange(WINDOW)[:, None] < count[None, c : c + columns])[:, None, :]
-            np.add.at(total, first + doc[c : c + columns], s.sum(0).T)
-        labels[a:b] = flat[np.arange(WINDOW)[None, :] < count[:, None]]
+    total, labels = np.zeros((texts, langs)), np.empty(len(data), label_type(net))
+    doc, start, count = places(offsets)
+    for c in range(0, len(doc), columns):
+        k, n = doc[c : c + columns], count[c : c + columns]
+        s = net.scores(filled(data, start[c : c + columns], n))
+        on = np.arange(WINDOW)[:, None] < n[None, :]
+        labels[start[c] : start[c + len(k) - 1] + n[-1]] = s.argmax(1).T[on.T]
+        s -= s.max(1, keepdims=True)
+        s -= np.log(np.exp(s).sum(1, keepdims=True))
+        s *= on[:, None, :]
+        np.add.at(total, k, s.sum(0).T)
     return total, labels
 
 
+def label_type(net: Network) -> np.dtype:
+    """The type of a position's label: one byte, or two (low byte first) where there are more than 256 languages."""
+    return np.dtype("u1" if len(net.languages) <= 256 else "<u2")
+
+
 def identify(docs: DataFrame, net: Network, column: str = "text") -> DataFrame:
     """docs with language STRING, confidence DOUBLE, probabilities ARRAY<DOUBLE> (by net.languages) and positions BINARY;
     columns of these names are replaced.
 
-    positions has one byte for every byte of the UTF-8 text: the number of that position's most likely language. The text's
+    positions has one byte for every byte of the UTF-8 text (two, the low one first, where there are more than 256 languages): the
+    number of that position's most likely language. The text's
     probabilities are the softmax of the mean log-probabilities of all its positions, sharpened by the root of their number up to 8;
     language is the likeliest (the first in alphabetical order on a tie) and confidence its probability. Null and empty
     texts get null language, confidence and probabilities, and null and empty positions. Texts of any length are read whole.
@@ -210,6 +221,7 @@ def identify(docs: DataFrame, net: Network, column: str = "text") -> DataFrame:
     Scale: no shuffle; the network has a few thousand numbers.
     """
     bounded(docs.sparkSession)
+    docs, names = own_names(docs)
     net = docs.sparkSession.sparkContext.broadcast(net)
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
@@ -225,7 +237,7 @@ def identify(docs: DataFrame, net: Network, column: str = "text") -> DataFrame:
             names = pa.array([None if s == 0 else net.value.languages[k] for k, s in zip(best, size, strict=True)], pa.string())
             top = pa.array(p.max(1) if len(p) else np.zeros(0), mask=size == 0)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(p) + 1, dtype=np.int32) * len(net.value.languages)), pa.array(p.ravel()), mask=none if len(p) else None)
-            marks = pa.Array.from_buffers(pa.large_binary(), len(p), [None, pa.py_buffer(np.ascontiguousarray(offsets)), pa.py_buffer(labels)]).cast(pa.binary())
+            marks = pa.Array.from_buffers(pa.large_binary(), len(p), [None, pa.py_buffer(np.ascontiguousarray(offsets * labels.itemsize)), pa.py_buffer(labels)]).cast(pa.binary())
             if texts.null_count:
                 import pyarrow.compute as pc
 
@@ -236,8 +248,8 @@ def identify(docs: DataFrame, net: Network, column: str = "text") -> DataFrame:
     run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
     named = F.arrow_udf(run, "language string, confidence double, probabilities array<double>, positions binary")
     fresh = ("language", "confidence", "probabilities", "positions")
-    own = [c for c in docs.columns if c.lower() not in (*fresh, "_pl_lang")]
-    return docs.withColumn("_pl_lang", named(F.col(column))).select(*own, *[f"_pl_lang.{c}" for c in fresh])
+    own = [c for c in docs.columns if c.lower() not in fresh]
+    return docs.withColumn("_pl_lang", named(F.col(column))).select(*own, *[f"_pl_lang.{c}" for c in fresh]).withColumnsRenamed(names)
 
 
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
