@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, own_names
 
 BINS = 1 << 16
 
@@ -33,7 +33,7 @@ def _odds(d: DataFrame) -> DataFrame:
 def mix(docs: DataFrame, weights: dict[str, float] | None = None, epochs: float = 1.0, temperature: float = 0.5, seed: int = 7) -> DataFrame:
     """docs with `copies` (>= 1), the rows that the mix leaves out gone. A column `copies` that docs has is replaced.
 
-    The mix has round(epochs * rows) rows. Each source gets a whole number of them by its weight: `weights` (those of
+    The mix has round(epochs * rows) rows, or none where no source that is there has a weight above 0. Each source gets a whole number of them by its weight: `weights` (those of
     sources that are absent count for nothing), or where none are given its row count to the power `temperature`.
     Within a source of n target rows, a document of size x (bits of its n_chars) is expected n * x / sum(x) times: the
     whole part is allocated for certain, the rest p competes in Pareto order sampling: rank by
@@ -48,6 +48,7 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, epochs: float
     which a source's sample ends; only that bin's keys are sorted. Every row then decides by itself against the cut
     of its source.
     """
+    docs, names = own_names(docs)
     spark = docs.sparkSession
     keyed = _keyed(docs.drop("copies"), seed)
     per = keyed.groupBy("_pl_src").agg(F.count(F.lit(1)).alias("_pl_rows"), F.sum("_pl_x").alias("_pl_sum"))
@@ -56,11 +57,16 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, epochs: float
     else:
         table = spark.createDataFrame([(str(k), float(v)) for k, v in weights.items()], "_pl_src string, _pl_w double")
         per = per.join(table, "_pl_src", "left").fillna(0.0, ["_pl_w"])
+    # Running sums of the weights in the order of sources, by ranges of sources: within each, then what lies before it.
+    per = materialize(per.repartitionByRange("_pl_src").withColumn("_pl_part", F.spark_partition_id()), "mix-weights")
+    before = W.orderBy("_pl_part").rowsBetween(W.unboundedPreceding, -1)  # a row for each range
+    parts = per.groupBy("_pl_part").agg(F.sum("_pl_w").alias("_pl_pw")).withColumn("_pl_before", F.coalesce(F.sum("_pl_pw").over(before), F.lit(0.0)))
+    within = W.partitionBy("_pl_part").orderBy("_pl_src")
     total = per.agg(F.sum("_pl_rows").alias("_pl_all"), F.sum("_pl_w").alias("_pl_wall"))
-    upto = W.orderBy("_pl_src").rowsBetween(W.unboundedPreceding, 0)  # one row per source
-    per = per.crossJoin(total).withColumn("_pl_cum", F.sum("_pl_w").over(upto))
-    target = F.floor(F.floor(F.lit(float(epochs)) * F.col("_pl_all") + 0.5) * F.col("_pl_cum") / F.col("_pl_wall") + 0.5).cast("long")
-    per = per.withColumn("_pl_to", target).withColumn("_pl_n", F.col("_pl_to") - F.coalesce(F.lag("_pl_to").over(W.orderBy("_pl_src")), F.lit(0)))
+    per = per.join(parts.drop("_pl_pw"), "_pl_part").crossJoin(F.broadcast(total))  # one row
+    target = lambda w: F.coalesce(F.floor(F.floor(F.lit(float(epochs)) * F.col("_pl_all") + 0.5) * w / F.nullif("_pl_wall", F.lit(0.0)) + 0.5), F.lit(0)).cast("long")
+    upto, lower = (F.coalesce(F.sum("_pl_w").over(within.rowsBetween(W.unboundedPreceding, k)), F.lit(0.0)) for k in (0, -1))
+    per = per.withColumn("_pl_n", target(F.col("_pl_before") + upto) - target(F.col("_pl_before") + lower))
     per = materialize(per.select("_pl_src", "_pl_n", "_pl_sum"), "mix-sources")
 
     slim = _keyed(docs.select("doc_id", "source", "n_chars", "text"), seed).join(per, "_pl_src")
@@ -81,7 +87,7 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, epochs: float
     d = d.withColumn("_pl_at", F.coalesce(at, F.lit(False))).withColumn("_pl_in", F.coalesce(first | level, F.lit(False)).cast("long"))
     ties = d.where("_pl_at").withColumn("_pl_in", (F.row_number().over(W.partitionBy("_pl_src").orderBy("_pl_t")) <= F.col("_pl_same")).cast("long"))
     d = d.where("not _pl_at").unionByName(ties).withColumn("copies", F.col("_pl_whole") + F.col("_pl_in"))
-    return d.where("copies > 0").select(*[c for c in docs.columns if c.lower() != "copies"], "copies")
+    return d.where("copies > 0").select(*[c for c in docs.columns if c.lower() != "copies"], "copies").withColumnsRenamed(names)
 
 
 def repeated(mixed: DataFrame) -> DataFrame:
