@@ -34,7 +34,8 @@ def near_duplicates(table: DataFrame, threshold: float = 0.95, recall: float = 0
     Left out: null ids, null, empty, zero or non-finite vectors, vectors with null elements or of another
     length than most. Rows that repeat an id are one vertex. Other columns are not read. An empty table gives no rows.
 
-    Scale: shuffles are one key and code per vector and table, then each vector of a candidate component once; a bucket or
+    Scale: shuffles are one key per vector and table; the sign codes of a vector once for each of its buckets that hold others too, of which
+    there are as many as `plan` keeps unrelated vectors a bucket; then each vector of a candidate component once. A bucket or
     component of any size is compared in chunks of `chunk` rows in parallel, and only a spanning forest of its edges is kept.
     """
     v = valid(table).where(F.exists("embedding", lambda x: x != 0))
@@ -53,10 +54,14 @@ def near_duplicates(table: DataFrame, threshold: float = 0.95, recall: float = 0
             if b.num_rows:
                 on = (matrix(b["embedding"], np.float32) @ planes > 0).reshape(b.num_rows, tables, bits)
                 code = (on * weights).sum(2, dtype=np.uint32)
+                yield pa.RecordBatch.from_arrays([b["id"], pa.array([c.tobytes() for c in code], pa.binary())], ["id", "code"])
+
+    def buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                code = np.frombuffer(b"".join(b["code"].to_pylist()), np.uint32).reshape(-1, tables)
                 key = (np.arange(tables, dtype=np.int64) << 32)[None, :] | code
-                codes = pa.array([c.tobytes() for c in code], pa.binary())
-                take = np.repeat(np.arange(b.num_rows), tables)
-                yield pa.RecordBatch.from_arrays([pa.array(key.ravel()), b["id"].take(pa.array(take)), codes.take(pa.array(take))], ["key", "id", "code"])
+                yield pa.RecordBatch.from_arrays([pa.array(key.ravel()), b["id"].take(pa.array(np.repeat(np.arange(b.num_rows), tables)))], ["key", "id"])
 
     most = 1 - math.acos(min(1.0, threshold)) / math.pi
     n = tables * bits
@@ -74,7 +79,8 @@ def near_duplicates(table: DataFrame, threshold: float = 0.95, recall: float = 0
                 earlier = ((code[i] == code[j]) & (np.arange(tables)[None, :] < at[i][:, None])).any(1)
                 yield _forest(ids[i[~earlier]], ids[j[~earlier]])
 
-    keyed = chunked(reps.mapInArrow(sign, "key long, id long, code binary"), "key", "id", chunk)
+    codes = materialize(reps.mapInArrow(sign, "id long, code binary"), "sign-codes")
+    keyed = chunked(codes.mapInArrow(buckets, "key long, id long"), "key", "id", chunk).join(codes, "id")
     keyed = keyed.repartition("key", "_lo", "_hi").sortWithinPartitions("key", "_lo", "_hi", "id")
     linked = components(keyed.mapInArrow(candidates, "a long, b long"))
 
