@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded, release
+from .common import bounded, own_names, release
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -110,6 +110,7 @@ def tokenize(docs: DataFrame, vocabulary: str = VOCABULARY, pattern: str = PATTE
     Scale: no shuffle. The vocabulary (a file the driver reads; its size is fixed) travels with the tasks.
     """
     bounded(docs.sparkSession)
+    docs, names = own_names(docs)
     model = docs.sparkSession.sparkContext.broadcast(model_bytes(read_ranks(vocabulary)))
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
@@ -136,8 +137,8 @@ def tokenize(docs: DataFrame, vocabulary: str = VOCABULARY, pattern: str = PATTE
 
     run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
     coded = F.arrow_udf(run, "tokens array<int>, n_tokens int, round_trip boolean")
-    own = [c for c in docs.columns if c.lower() not in ("tokens", "n_tokens", "round_trip", "_pl_coded")]
-    return docs.withColumn("_pl_coded", coded(F.col(column))).select(*own, "_pl_coded.tokens", "_pl_coded.n_tokens", "_pl_coded.round_trip")
+    own = [c for c in docs.columns if c.lower() not in ("tokens", "n_tokens", "round_trip")]
+    return docs.withColumn("_pl_coded", coded(F.col(column))).select(*own, "_pl_coded.tokens", "_pl_coded.n_tokens", "_pl_coded.round_trip").withColumnsRenamed(names)
 
 
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

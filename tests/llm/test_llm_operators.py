@@ -48,7 +48,7 @@ def clash(df, *names):
     return df
 
 
-# 1 -----------------------------------------------------------------------------------------------------------------------
+# operator 1
 
 
 def test_capture_index_matches_brute_force(spark):
@@ -69,32 +69,68 @@ def test_capture_index_matches_brute_force(spark):
     assert [tuple(r) for r in index.resolve(missing).collect()] == [("com,example,zzz)/", 0, None, None)]
 
 
+def test_capture_index_of_keys_with_signs_of_its_own(spark):
+    keys = ["a\tb", "a!b", "a#b", "a$c", "a%09b", "a%b", "a\nb", "a\\b", "", "a" * 100_000, "a" * 100_001] * 2 + [None]
+    captures = spark.createDataFrame([(k, i, "own") for i, k in enumerate(keys)], "key string, page_id long, line string")
+    index = capture_index.CaptureIndex.build(captures, block_lines=2)
+    got = {r["key"]: (r["captures"], r["first_id"], r["last_id"]) for r in index.resolve(captures.union(spark.createDataFrame([("a%c", 1, "")], captures.schema))).collect()}
+    assert got == {k: (2, i, i + 11) for i, k in enumerate(keys[:11])} | {"a%c": (0, None, None)}
+    assert [x["page_id"] for x in index.lookup("a\tb")] == [0, 11]
+
+
 def test_capture_index_of_an_empty_table(spark):
     captures = capture_index.captures_of(spark.createDataFrame([], "page_id long, url string, html string"))
     assert capture_index.CaptureIndex.build(captures).resolve(captures).collect() == []
 
 
-# 2 -----------------------------------------------------------------------------------------------------------------------
+# operator 2
 
 
-def test_matrix_rows_have_exact_margins():
-    counts = np.array([0, 5, 0, 17, 3, 100])
-    before, sizes = np.concatenate([[0], np.cumsum(counts)]), sharding.shard_sizes(125, 7)
-    m = np.array([sharding.matrix_row(before, sizes, i, 4) for i in range(len(counts))])
-    assert (m.sum(1) == counts).all() and (m.sum(0) == sizes).all() and (m >= 0).all()
+def test_hypergeometric_draws_follow_the_law():
+    rng = np.random.default_rng(4)
+    for good, bad, n in ((5, 9, 6), (300, 40, 170), (3, 3, 6), (7, 0, 4), (0, 7, 4), (50, 60, 1)):
+        got = np.bincount(sharding.hypergeometric(rng, np.full(40_000, good), bad, n), minlength=n + 1)
+        law = np.array([math.comb(good, k) * math.comb(bad, n - k) for k in range(n + 1)]) / math.comb(good + bad, n) * 40_000
+        some = law > 8
+        assert got[law == 0].sum() == 0 and ((got[some] - law[some]) ** 2 / law[some]).sum() < some.sum() + 5 * math.sqrt(2 * some.sum())
+    # Beyond 10^9: mean and spread of the law, and a table of 10^13 rows.
+    good, bad, n = 3 * 10**12, 7 * 10**12, 10**11
+    x = sharding.hypergeometric(rng, np.full(4000, good), bad, n) - n * 0.3
+    sd = math.sqrt(n * 0.3 * 0.7 * (1 - n / (good + bad)))
+    assert abs(x.mean()) < 5 * sd / math.sqrt(4000) and 0.95 < x.std() / sd < 1.05
 
 
-def test_sharding_keeps_rows_and_sizes(docs, none):
-    out = sharding.shuffle_to_shards(clash(docs, "Shard", "position"), shard_rows=3)
-    assert out.columns == [*docs.columns, "shard", "position"]
-    rows = out.collect()
-    assert Counter(tuple(r)[:5] for r in rows) == Counter(doc_rows())
-    by = Counter(r["shard"] for r in rows)
-    assert sorted(by.values(), reverse=True) == [3, 3, 2, 2] and set(by) == set(range(4))
-    assert all(sorted(r["position"] for r in rows if r["shard"] == s) == list(range(n)) for s, n in by.items())
+def test_matrix_rows_have_exact_margins():
+    for before, sizes in (([0, 5, 5, 17, 40], [13, 13, 14]), ([0, 7], [3, 4]), ([0, 3 * 10**12, 10**13], [25 * 10**11] * 4)):
+        before, sizes = np.array(before), np.array(sizes)
+        m = np.stack([sharding.matrix_row(before, sizes, p, 3) for p in range(len(before) - 1)])
+        assert (m >= 0).all() and m.sum(1).tolist() == np.diff(before).tolist() and m.sum(0).tolist() == sizes.tolist()
+
+
+@pytest.mark.parametrize("shard_rows", [3, 4, 100])
+def test_sharding_keeps_rows_and_sizes(spark, docs, none, shard_rows):
+    d = clash(docs, "shard", "_pl_row", "_pl_key").union(clash(docs, "shard", "_pl_row", "_pl_key"))
+    out = sharding.shuffle_to_shards(d, shard_rows).collect()
+    sizes = Counter(r["shard"] for r in out)
+    assert [sizes[i] for i in range(len(sizes))] == sharding.shard_sizes(d.count(), len(sizes)).tolist() and len(sizes) == -(-len(out) // shard_rows)
+    assert all(sorted(r["position"] for r in out if r["shard"] == k) == list(range(n)) for k, n in sizes.items())
+    assert Counter((r["doc_id"], r["text"], r["_pl_row"], r["_pl_key"]) for r in out) == Counter((r[0], r[1], "own", "own") for r in doc_rows() * 2)
     assert sharding.shuffle_to_shards(none).collect() == []
 
 
+def test_buckets_of_many_shards_are_cut_as_their_sizes_say(spark):
+    d = spark.range(1000).repartition(5)
+    spark.conf.set("spark.sql.shuffle.partitions", "2")
+    try:
+        for rows in (7, 8, 3):
+            out = sharding.shuffle_to_shards(d, rows).collect()
+            sizes = Counter(r["shard"] for r in out)
+            assert [sizes[i] for i in range(len(sizes))] == sharding.shard_sizes(1000, -(-1000 // rows)).tolist()
+            assert sorted(r["id"] for r in out) == list(range(1000)) and len({(r["shard"], r["position"]) for r in out}) == 1000
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+
 def test_sharding_is_uniform_and_repeatable(spark):
     d = spark.range(400, numPartitions=5).withColumnRenamed("id", "doc_id")
     hits = np.zeros((4, 4))
@@ -108,7 +144,7 @@ def test_sharding_is_uniform_and_repeatable(spark):
     assert sorted(map(str, rows)) == sorted(map(str, again))
 
 
-# 3 -----------------------------------------------------------------------------------------------------------------------
+# operator 3
 
 
 @pytest.fixture(scope="module")
@@ -151,7 +187,7 @@ def test_bpe_edge_cases(docs, none):
     assert bpe.tokenize(none).collect() == []
 
 
-# 4 -----------------------------------------------------------------------------------------------------------------------
+# operator 4
 
 
 def union_find(vertices, edges):
@@ -192,7 +228,7 @@ def test_components_by_both_ways(spark, single):
     assert got == union_find({v for e in plain for v in e}, plain)
 
 
-# 5 -----------------------------------------------------------------------------------------------------------------------
+# operator 5
 
 
 def gram_set(text, n=3):
@@ -264,7 +300,7 @@ def test_bayes_limits_are_the_posterior_tail():
             assert (density[grid >= 0.5].sum() / density.sum() >= 1e-4 * 0.999) == keeps
 
 
-# 6 -----------------------------------------------------------------------------------------------------------------------
+# operator 6
 
 
 def test_pii_forms():
@@ -310,12 +346,59 @@ def test_pii_by_join_equals_pii_by_shipping(docs, none, monkeypatch):
     assert pii.identifiers(none).collect() == [] and pii.redact(none).collect() == []
 
 
+def brute_patterns(texts, rounds=3, support=3, trust=0.8):
+    """bootstrap by loops over dictionaries."""
+    edges, kinds = {}, {}
+    for t in texts:
+        for _, _, m, before, after in pii.mentions(t or ""):
+            kinds[m] = pii.seed_kind(m)
+            for p in pii.patterns_of(m, before, after):
+                edges.setdefault(p, set()).add(m)
+    scores = {m: {k: 1.0} for m, k in kinds.items() if k}
+    for r in range(rounds):
+        trusted = {}
+        for p, ms in edges.items():
+            if len(ms) >= support:
+                for k in {k for m in ms for k in scores.get(m, {})}:
+                    mass = sum(scores.get(m, {}).get(k, 0.0) for m in ms) / (len(ms) + 1)
+                    if mass >= trust:
+                        trusted[p, k] = mass
+        scores = {m: {k: 1.0} for m, k in kinds.items() if k}
+        for (p, k), v in trusted.items():
+            for m in edges[p]:
+                if not kinds[m]:
+                    scores.setdefault(m, {})[k] = 1 - (1 - scores.get(m, {}).get(k, 0.0)) * (1 - v)
+    out = {}
+    for (p, k), v in sorted(trusted.items(), key=lambda x: (-x[1], x[0][1])):
+        out.setdefault(p, (k, v))
+    return out
+
+
+def test_pii_equals_loops_over_dictionaries(spark, sf):
+    d = spark.read.parquet(f"{sf}/documents.parquet")
+    texts = [(r["doc_id"], r["text"]) for r in d.collect()]
+    model = brute_patterns([t for _, t in texts])
+    got = {r["pattern"]: (r["kind"], r["score"]) for r in pii.bootstrap(d).collect()}
+    assert model and got.keys() == model.keys() and all(got[p][0] == k and got[p][1] == pytest.approx(v) for p, (k, v) in model.items())
+    find = pii.finder(model)
+    want = Counter((i, s, n, k, m) for i, t in texts for s, n, k, m, _ in find(t or ""))
+    assert Counter((r["doc_id"], r["start"], r["length"], r["kind"], r["identifier"]) for r in pii.identifiers(d).collect()) == want
+
+
+def test_pii_context_words_are_whole():
+    long, text = "q" * 5000, "x" * 300
+    assert [m[2:] for m in pii.mentions(f"{text} {long} jo@a.com {long}z end")] == [("jo@a.com", f"{text} {long}", f"{long}z")]
+    assert [m[2:] for m in pii.mentions("a, (b)   9,c\nd 8")] == [("9", "a b", "c"), ("8", "d", "")]
+    many = "u1@a.com," * 40_000
+    assert sum(1 for _ in pii.mentions(many)) == 40_000  # one word of white space's making, and still linear
+
+
 def test_pii_redaction_sets_lengths(docs):
     rows = {r["doc_id"]: r for r in pii.redact(docs).collect()}
     assert rows[None]["n_chars"] == len(rows[None]["text"]) and rows[1]["n_chars"] == 95 and rows[5]["text"] is None
 
 
-# 7 -----------------------------------------------------------------------------------------------------------------------
+# operator 7
 
 
 def test_gradient_by_differences():
@@ -358,6 +441,51 @@ def test_every_labelled_language_is_in_the_sample(spark):
     assert langid.train(d, rows=220, steps=1).languages == sorted({r[2] for r in rows})
 
 
+def loop_scores(net, text):
+    """Logits of every position, one step at a time."""
+    h, out = net.units, []
+    for a in range(0, len(text), langid.WINDOW):
+        x = np.frombuffer(text[a : a + langid.WINDOW], np.uint8)
+        pad = np.concatenate([x, np.zeros(langid.WINDOW - len(x), np.uint8)])
+        states = []
+        for e, u, seq in ((net.p["ef"], net.p["uf"], pad), (net.p["eb"], net.p["ub"], pad[::-1])):
+            s, each = np.zeros(h), []
+            for c in seq:
+                g, v = u @ s, e[c]
+                z, r = (np.clip(v[k * h : (k + 1) * h] + g[k * h : (k + 1) * h], 0, 1) for k in (0, 1))
+                n = np.clip(v[2 * h :] + r * g[2 * h :], -1, 1)
+                s = z * s + (1 - z) * n
+                each.append(s)
+            states.append(each)
+        for t in range(len(x)):
+            out.append(net.p["w"][:, :h] @ states[0][t] + net.p["w"][:, h:] @ states[1][langid.WINDOW - 1 - t] + net.p["b"])
+    return np.array(out)
+
+
+def test_language_scores_equal_a_loop_and_ignore_batches(spark):
+    net = langid.Network(["a", "b", "c"], units=4, seed=2)
+    rng = np.random.default_rng(5)
+    texts = [bytes(rng.integers(97, 123, n, np.uint8)) for n in (1, langid.WINDOW, langid.WINDOW + 1, 5 * langid.WINDOW - 3, 0, 40)]
+    data, offsets = np.frombuffer(b"".join(texts), np.uint8), np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+    want = [loop_scores(net, t) if t else np.zeros((0, 3)) for t in texts]
+    logs = [w - np.log(np.exp(w).sum(1, keepdims=True)) for w in want]
+    for columns in (1, 3, 2048):
+        total, labels = langid._pool(net, data, offsets, columns)
+        assert np.allclose(total, [x.sum(0) for x in logs], rtol=1e-4, atol=1e-3)
+        assert (labels == np.concatenate([w.argmax(1) for w in want])).mean() > 0.99
+    long = bytes(rng.integers(97, 123, (8 << 20) + 1000, np.uint8))
+    alone, mine = langid._pool(net, np.frombuffer(texts[3], np.uint8), offsets[[0, 4]] * [0, 1] + [0, -offsets[3]])
+    both, labels = langid._pool(net, np.frombuffer(long + texts[3], np.uint8), np.array([0, len(long), len(long) + len(texts[3])]))
+    assert np.allclose(both[1], alone[0], atol=1e-3) and (labels[len(long) :] == mine).all()
+
+
+def test_more_languages_than_a_byte_counts(spark):
+    net = langid.Network([f"x{i:03d}" for i in range(300)], units=2, seed=1)
+    row = langid.identify(spark.createDataFrame([(1, "abcdefgh" * 10, "own")], "doc_id long, text string, _pl_lang string"), net).first()
+    marks = np.frombuffer(bytes(row["positions"]), "<u2")
+    assert len(marks) == 80 and marks.max() < 300 and row["_pl_lang"] == "own"
+
+
 def test_language_edge_cases(spark, docs, none):
     net = langid.Network(["de", "en"])
     rows = {r["doc_id"]: r for r in langid.identify(clash(docs, "language", "positions"), net).collect()}
@@ -367,7 +495,7 @@ def test_language_edge_cases(spark, docs, none):
     assert langid.train(none).languages == ["und"] and langid.train(docs.where("doc_id = 7")).languages == ["und"]
 
 
-# 8 -----------------------------------------------------------------------------------------------------------------------
+# operator 8
 
 
 def test_suffixes_and_prefixes_by_brute_force(tmp_path):
@@ -424,7 +552,7 @@ def test_passages_edge_cases(docs, none):
     assert suffix_dedup.repeated_passages(none).collect() == []
 
 
-# 9 -----------------------------------------------------------------------------------------------------------------------
+# operator 9
 
 
 def test_top_k_is_exact(spark):
@@ -440,9 +568,22 @@ def test_top_k_is_exact(spark):
         order = sorted((j for j in range(300) if j != i), key=lambda j: (-s[i, j], j))[:5]
         assert [got[i, r + 1][0] for r in range(5)] == order
     assert len(got) == 1500 and topk.top_k(t.limit(0)).collect() == []
+    some = topk.top_k(t, 5, t.where("vec_id % 20 = 0"), block=32, queries=4).collect()
+    assert {(r["vec_id"], r["rank"]): (r["neighbor_id"], r["score"]) for r in some} == {k: v for k, v in got.items() if k[0] % 20 == 0}
+    assert topk.top_k(t, 5, t.limit(0)).collect() == []
+
+
+def test_top_k_of_repeated_rows(spark):
+    rows = [(1, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [2.0, 0.0]), (2, [3.0, 0.0]), (3, [0.5, 1.0])]
+    got = topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), 3, block=2).collect()
+    want = Counter()
+    for i, (a, x) in enumerate(rows):
+        order = sorted(((-float(np.dot(x, y)), b) for b, y in rows if b != a))[:3]
+        want.update((a, r, b, -s) for r, (s, b) in enumerate(order, 1))
+    assert Counter(map(tuple, got)) == want
 
 
-# 10 ----------------------------------------------------------------------------------------------------------------------
+# operator 10
 
 
 def test_mixing_has_exact_sizes_and_expected_inclusion(spark):
@@ -473,6 +614,9 @@ def test_mixing_edge_cases(docs, none):
     assert sum(r["copies"] for r in rows) == 20 and out.columns == [*docs.columns, "whole", "copies"]
     assert mixing.repeated(out).count() == 20 and mixing.repeated(out).columns == [*docs.columns, "whole"]
     assert mixing.mix(none).collect() == []
+    assert mixing.mix(docs, {"absent": 1.0}).collect() == [] and mixing.mix(docs, {}).collect() == [] and mixing.mix(docs, {"a": 0.0}).collect() == []
+    kept = mixing.mix(clash(docs, "_pl_src", "_pl_q")).collect()
+    assert kept and all(r["_pl_src"] == r["_pl_q"] == "own" for r in kept)
 
 
 def test_mixing_of_equal_rows_keeps_the_size(spark):
