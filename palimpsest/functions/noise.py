@@ -34,18 +34,24 @@ def span_is_mojibake(text: Column, font: Column) -> Column:
 
 
 def word_is_mojibake(word: Column) -> Column:
-    """A token whose letters cannot be a word: hint characters, digits within letters, no vowel, four consonants, odd capitals."""
-    letters, upper, lower = count(word, r"\p{L}"), count(word, r"\p{Lu}"), count(word, r"\p{Ll}")
+    """A token whose letters cannot be a word: hint characters, digits within letters, no vowel, four consonants, odd capitals.
+
+    Most words are small ASCII letters after at most one capital, and need two tests only; capitals are counted only where one follows."""
+    length, low = F.length(word), F.lower(word)
+    bare = ~word.rlike("[aeiouyAEIOUY]")
+    clustered = low.rlike("[bcdfghjklmnpqrstvwxz]{4}")
+    sandwich = word.rlike("[A-Za-z][0-9]+[A-Za-z]")
+    upper, lower = count(word, r"\p{Lu}"), count(word, r"\p{Ll}")
     inner = count(F.substring(word, 2, 1 << 30), r"\p{Lu}")
-    sandwich = ~word.rlike(r"^[A-Za-z\-']+$") & word.rlike("[A-Za-z][0-9]+[A-Za-z]")
-    caps = (upper * 2 <= F.length(word)) & (((lower >= 2) & (F.length(word) <= 7)) | (inner >= 2))
+    caps = (lower >= 1) & (upper * 2 <= length) & (((lower >= 2) & (length <= 7)) | (inner >= 2))
     return (
-        F.when(F.length(word) < 3, False)
+        F.when(length < 3, False)
+        .when(word.rlike("^[A-Z]?[a-z]+$"), ((length >= 4) & bare) | clustered)
         .when(word.rlike(HINTS) | sandwich, True)
-        .when(letters == 0, False)
-        .when((letters >= 4) & (count(word, "[aeiouyAEIOUY]") == 0), True)
-        .when(F.lower(word).rlike("[bcdfghjklmnpqrstvwxz]{4,}"), True)
-        .otherwise((lower >= 1) & (inner >= 1) & caps)
+        .when(~word.rlike(r"\p{L}"), False)
+        .when(bare & word.rlike(r"(?:\p{L}\P{L}*){4}"), True)
+        .when(clustered, True)
+        .otherwise(word.rlike(r".\p{Lu}") & caps)
     )
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -98,6 +99,11 @@ def squeeze(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.replace(text, F.lit(NBSP), F.lit(" ")), r"\s+", " "))
 
 
+def strip_ends(text: Column, left: bool = True) -> Column:
+    """White space of any kind goes at the end, and at the start too unless told otherwise."""
+    return F.regexp_replace(text, r"^\s+|\s+$" if left else r"\s+$", "")
+
+
 def fold_apostrophes(text: Column) -> Column:
     return F.translate(text, "\u2018\u2019", "''")
 
@@ -162,19 +168,45 @@ def format_tags(text: Column) -> Column:
     return F.regexp_replace(text, f"\x10{inner}$", "$1")
 
 
+def ornate_brackets(text: Column, quran: Column) -> Column:
+    """Verse brackets that were read as ASCII ones, restored in verses that have none yet; other text stays."""
+    t = F.regexp_replace(text, r"^\s*\(\.\s*\.\.\s*", "\ufd3f... ")
+    t = F.regexp_replace(t, r"^\s*\(\.\s*", "\ufd3f")
+    t = F.regexp_replace(F.regexp_replace(t, r"^\s*\(\s*\.\.\.", "\ufd3f..."), r"^\s*\(", "\ufd3f")
+    t = F.translate(F.regexp_replace(t, r"[)}]\s*$", "\ufd3e"), "}{", "\ufd3e\ufd3f")
+    return F.when(quran & ~text.rlike("[\ufd3e\ufd3f]"), t).otherwise(text)
+
+
 def strip_diacritics(text: Column) -> Column:
     """Arabic marks go and letter variants fold, for comparison."""
     bare = F.regexp_replace(text, r"[\x{610}-\x{61a}\x{64b}-\x{65f}\x{670}\x{6d6}-\x{6ed}]", "")
     return F.translate(bare, "ٱآأإىة", "اااايه")
 
 
-_ACCENTED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿāăąćĉċčďēĕėęěĝğġģĥĩīĭįĵķĺļľńņňōŏőŕŗřśŝşšţťũūŭůűųŵŷźżžḥṣṭẓḍḏṯ"
-_PLAIN = "aaaaaaceeeeiiiinooooouuuuyyaaaccccdeeeeegggghiiiijklllnnnooorrrssssttuuuuuuwyzzzhstzddt"
+def _letter_table() -> tuple[dict[str, str], dict[str, str]]:
+    """Of each letter that compatibility decomposition makes ASCII letters of: what it is in small letters; one letter, and several."""
+    one, several = {"ı": "i"}, {}
+    for code in range(0x80, 0x1F000):
+        c = chr(code)
+        if unicodedata.category(c)[0] in "LN":
+            bare = "".join(x for x in unicodedata.normalize("NFKD", c) if not unicodedata.combining(x)).lower()
+            bare = "".join(x for x in bare if x in "abcdefghijklmnopqrstuvwxyz'")
+            if bare:
+                (one if len(bare) == 1 else several)[c] = bare
+    return one, several
+
+
+_ONE, _SEVERAL = _letter_table()
 
 
 def normalize_translit(text: Column) -> Column:
-    """A transliteration in plain small letters and apostrophes; combining marks and modifier letters go."""
-    t = F.translate(F.lower(text), _ACCENTED + "ı", _PLAIN + "i")
+    """A transliteration in plain small letters and apostrophes: letters by their compatibility decomposition, without combining marks; signs that decompose to
+    none, and modifier letters, go."""
+    some = text.rlike("[" + "".join(_SEVERAL) + "]")
+    long = text
+    for c, bare in _SEVERAL.items():
+        long = F.replace(long, F.lit(c), F.lit(bare))
+    t = F.lower(F.translate(F.when(some, long).otherwise(text), "".join(_ONE), "".join(_ONE.values())))
     return F.regexp_replace(t, "[^a-z']", "")
 
 

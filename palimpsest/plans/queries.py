@@ -292,7 +292,7 @@ def t11(t):
     return d.groupBy("page_id", C("s").startswith("<").alias("tag")).agg(F.count(F.lit(1)).alias("segments"), F.sum(F.length("s")).alias("chars"))
 
 
-@query("t17_transliteration", rf"WITH {WORDS} SELECT DISTINCT word, regexp_replace(translate(lower(word), '{text._ACCENTED}ı', '{text._PLAIN}i'), '[^a-z'']', '', 'g') AS norm FROM words")
+@query("t17_transliteration", rf"WITH {WORDS} SELECT DISTINCT word, regexp_replace(replace(strip_accents(lower(word)), 'ı', 'i'), '[^a-z'']', '', 'g') AS norm FROM words")
 def t17(t):
     return t.words.select("word").distinct().withColumn("norm", text.normalize_translit(C("word")))
 
@@ -416,9 +416,21 @@ def j14(t):
 GRAMS = r"list_transform(range(1, len(w) - 2), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] || ' ' || w[i + 3])"
 
 
-def grams(df: DataFrame, key: str, n: int) -> DataFrame:
+BROADCAST_GRAMS = 2_000_000
+"""So many grams of verses (16 bytes each) may go to all tasks; beyond that the grams of both sides are shuffled."""
+
+
+def gram_hashes(df: DataFrame, key: str, n: int) -> DataFrame:
+    """(key, g): a hash of each n words in a row of a text."""
     w = df.select(key, F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0)).alias("w")).where(F.size("w") >= n)
-    return w.select(key, F.explode(F.expr(f"transform(sequence(1, size(w) - {n - 1}), i -> array_join(slice(w, i, {n}), ' '))")).alias("g")).distinct()
+    return w.select(key, F.explode(F.expr(f"transform(sequence(1, size(w) - {n - 1}), i -> xxhash64(array_join(slice(w, i, {n}), ' ')))")).alias("g"))
+
+
+def gram_hits(docs: DataFrame, verses: DataFrame, n: int) -> DataFrame:
+    """(doc_id, item_id, hits): how many different n-grams they share. Only the grams of documents that a verse has leave their task, as long as the verses' are few."""
+    v = gram_hashes(verses, "item_id", n).distinct()
+    few = v.limit(BROADCAST_GRAMS + 1).count() <= BROADCAST_GRAMS
+    return gram_hashes(docs, "doc_id", n).join(F.broadcast(v) if few else v, "g").groupBy("doc_id", "item_id").agg(F.count_distinct("g").alias("hits"))
 
 
 @query(
@@ -427,24 +439,16 @@ def grams(df: DataFrame, key: str, n: int) -> DataFrame:
     f"dg AS (SELECT DISTINCT doc_id, unnest({GRAMS}) AS g FROM d WHERE len(w) >= 4), bg AS (SELECT DISTINCT item_id, unnest({GRAMS}) AS g FROM b WHERE len(w) >= 4) SELECT doc_id, item_id, count(*) AS hits FROM dg JOIN bg USING (g) GROUP BY ALL",
 )
 def j16(t):
-    return grams(t.documents, "doc_id", 4).join(grams(t.benchmark, "item_id", 4), "g").groupBy("doc_id", "item_id").agg(F.count(F.lit(1)).alias("hits"))
+    return gram_hits(t.documents, t.benchmark, 4)
 
 
 GRAMS3 = r"list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])"
 
 
 def anchor_candidates(docs: DataFrame, verses: DataFrame) -> DataFrame:
-    """(doc_id, item_id, gram, hits): pairs with a common 4-gram; for documents that have none, those with a common 3-gram.
-
-    The grams of the verses are sent to all tasks, so those of the documents are not shuffled, only those that hit."""
-
-    def hits(texts: DataFrame, n: int) -> DataFrame:
-        w = texts.select("doc_id", F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0)).alias("w")).where(F.size("w") >= n)
-        g = w.select("doc_id", F.explode(F.expr(f"transform(sequence(1, size(w) - {n - 1}), i -> array_join(slice(w, i, {n}), ' '))")).alias("g"))
-        return g.join(F.broadcast(grams(verses, "item_id", n)), "g").groupBy("doc_id", "item_id").agg(F.count_distinct("g").alias("hits"))
-
-    four = hits(docs, 4)
-    three = hits(docs.join(four.select("doc_id"), "doc_id", "left_anti"), 3)
+    """(doc_id, item_id, gram, hits): pairs with a common 4-gram; for documents that have none, those with a common 3-gram."""
+    four = gram_hits(docs, verses, 4)
+    three = gram_hits(docs.join(four.select("doc_id"), "doc_id", "left_anti"), verses, 3)
     return four.withColumn("gram", F.lit(4)).unionByName(three.withColumn("gram", F.lit(3)))
 
 
