@@ -44,7 +44,7 @@ def top_k(table: DataFrame, k: int = 10, asked: DataFrame | None = None, heads:
     Score is the inner product in double precision rounded to 9 digits; equal scores rank by the smaller neighbor_id. Exact: items
     are read by descending length, and a query stops when its length times the item's falls below its k-th score; of the
     items before that, those whose product over the first rotated coordinates plus the product of the residual
-    lengths stays below it are skipped, in steps of more and more coordinates (heads: an eighth, a quarter and a half of them unless given).
+    lengths stays below it are skipped, in steps of more and more coordinates while few are left (heads: an eighth, a quarter and a half of them unless given).
 
     Rows that `valid` leaves out (null ids or vectors, null or non-finite elements, lengths other than the table's commonest) are neither
     queries nor items. A row that repeats is a query each time, and counts as an item each time. Fewer than k others give fewer rows; an
@@ -147,21 +147,23 @@ class _Search:
     def block(self, ids: np.ndarray, x: np.ndarray, r: np.ndarray, rest: np.ndarray, norm: np.ndarray) -> None:
         live, low = self.live, self.low[self.live]
         slack = EPS + 1e-12 * self.norm[live] * norm.max()
-        if np.isneginf(low).any():  # the block's own k-th best, leaving room for the query itself among its items
+        first = np.isneginf(low).any()
+        if not first:
+            h = self.steps[0]
+            part = self.r[live, :h] @ r[:, :h].T
+            maybe = part + self.rest[0][live][:, None] * rest[0][None, :] >= (low - slack)[:, None]
+        if first or np.count_nonzero(maybe) > 0.05 * maybe.size:  # where many are left, one product of all is cheaper than steps for each
             full = self.q[live] @ x.T
-            own = np.where(self.qid[live][:, None] == ids[None, :], -np.inf, full)
-            if own.shape[1] >= self.k:
-                low = np.maximum(low, np.partition(own, own.shape[1] - self.k, axis=1)[:, own.shape[1] - self.k])
+            if first:  # the block's own k-th best, leaving room for the query itself among its items
+                own = np.where(self.qid[live][:, None] == ids[None, :], -np.inf, full)
+                if own.shape[1] >= self.k:
+                    low = np.maximum(low, np.partition(own, own.shape[1] - self.k, axis=1)[:, own.shape[1] - self.k])
             a, b = np.nonzero(full >= (low - slack)[:, None])
         else:
-            part = self.r[live, : self.steps[0]] @ r[:, : self.steps[0]].T
-            a, b = np.nonzero(part + self.rest[0][live][:, None] * rest[0][None, :] >= (low - slack)[:, None])
+            a, b = np.nonzero(maybe)
             part = part[a, b]
             for n, (h, g) in enumerate(zip(self.steps, self.steps[1:]), 1):
-                if len(a) > 0.02 * len(live) * len(ids):  # many are left: the next product of all is cheaper than that of each
-                    part = (self.r[live, h:g] @ r[:, h:g].T)[a, b] + part
-                else:
-                    part = part + self._dots(self.r[live, h:g], r[:, h:g], a, b)
+                part = part + self._dots(self.r[live, h:g], r[:, h:g], a, b)
                 on = part + self.rest[n][live[a]] * rest[n][b] >= (low - slack)[a]
                 a, b, part = a[on], b[on], part[on]
         a = live[a]
