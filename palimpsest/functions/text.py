@@ -202,10 +202,9 @@ _ONE, _SEVERAL = _letter_table()
 def normalize_translit(text: Column) -> Column:
     """A transliteration in plain small letters and apostrophes: letters by their compatibility decomposition, without combining marks; signs that decompose to
     none, and modifier letters, go."""
+    table = F.create_map(*[F.lit(x) for pair in _SEVERAL.items() for x in pair])
+    long = F.array_join(F.transform(F.split(text, ""), lambda c: F.coalesce(F.try_element_at(table, c), c)), "")
     some = text.rlike("[" + "".join(_SEVERAL) + "]")
-    long = text
-    for c, bare in _SEVERAL.items():
-        long = F.replace(long, F.lit(c), F.lit(bare))
     t = F.lower(F.translate(F.when(some, long).otherwise(text), "".join(_ONE), "".join(_ONE.values())))
     return F.regexp_replace(t, "[^a-z']", "")
 

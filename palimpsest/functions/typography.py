@@ -13,7 +13,7 @@ from . import text as T
 
 C = F.col
 BROKEN = r"\b([A-Za-z]{3,})- ([a-z]{2,})\b"
-CUT, END = "", ""
+CUT, END = "\ue000", "\ue001"
 DIGITS, RAISED = "0123456789", "⁰¹²³⁴⁵⁶⁷⁸⁹"
 VERBS = "states said explains narrates narrated wrote declared writes asks describes explained remarks notes argues maintains observes comments reports relates adds".split()
 

@@ -18,7 +18,7 @@ OPENS_SMALL = "^[a-zà-ſ]"
 QUOTED_MARK = "([A-Za-z][A-Za-z.\\-]*(?:-[A-Za-z]+)?[.!?]?)(['’])(?=\\s|$)"
 PLACEHOLDER = "†([0-9*]+)†"
 EXPLICIT = "\x12([0-9]+):([0-9*]+)\x13"
-CUT = ""
+CUT = "\ue000"
 
 
 def mark_next_page(text: Column, pno: Column, numbers: Column) -> Column:

@@ -179,7 +179,7 @@ def fix_names(elements: DataFrame, decisions: DataFrame) -> DataFrame:
     d = decisions.where("fix").groupBy("book", "pno", "seq").agg(F.map_from_entries(F.collect_list(F.struct("i", "suggested"))).alias("_put"))
     e = elements.join(d, ["book", "pno", "seq"], "left")
     found = F.regexp_extract_all("text", F.lit(NAME), F.lit(0))
-    parts = F.split(F.regexp_replace("text", NAME, ""), "")
+    parts = F.split(F.regexp_replace("text", NAME, "\ue000"), "\ue000")
     whole = F.array_join(F.transform(parts, lambda p, i: F.when(i == 0, p).otherwise(F.concat(F.coalesce(F.try_element_at("_put", i - 1), F.get(found, i - 1)), p))), "")
     return e.withColumn("text", F.when(C("_put").isNotNull(), whole).otherwise(C("text"))).drop("_put")
 

@@ -140,7 +140,9 @@ def note_boundary(lines: DataFrame, keys: list[str], order: str) -> DataFrame:
     """(keys, boundary): where a page's notes begin: the first marker line in the lower 0.3, else the first small line in the lower half from which on
     the median size stays small. Lines: y0, height, body, size, marker."""
     tail = W.partitionBy(*keys).orderBy(order).rowsBetween(0, W.unboundedFollowing)
-    d = lines.withColumn("_tail", F.median(F.when(F.col("size") > 0, F.col("size"))).over(tail))
+    d = lines.withColumn("_tail", F.array_sort(F.collect_list(F.when(F.col("size") > 0, F.col("size"))).over(tail)))
+    n = F.size("_tail")
+    d = d.withColumn("_tail", F.when(n > 0, (F.get("_tail", ((n - 1) / 2).cast("int")) + F.get("_tail", (n / 2).cast("int"))) / 2))
     mark = F.min(F.when((F.col("y0") >= F.col("height") * 0.7) & F.col("marker"), F.col(order)))
     limit = F.col("body") * 0.82
     small = (F.col("y0") >= F.col("height") * 0.5) & (F.col("size") > 0) & (F.col("size") < limit) & (F.col("_tail") < limit + 1.0)

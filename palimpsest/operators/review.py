@@ -24,7 +24,7 @@ ANCHOR = r'<span\b[^>]*epub:type="pagebreak"[^>]*>\s*(?:</span>)?'
 def page_texts(rendered: DataFrame) -> DataFrame:
     """(book, chapter, i, anchor, text): the plain text after each page anchor of a chapter up to the next, note references as [^N]; pages without text go. rendered: book,
     chapter, xhtml."""
-    cut = F.split(F.regexp_replace("xhtml", ANCHOR, ""), "")
+    cut = F.split(F.regexp_replace("xhtml", ANCHOR, "\ue000"), "\ue000")
     ids = F.transform(F.regexp_extract_all("xhtml", F.lit(ANCHOR), F.lit(0)), lambda a: F.regexp_extract(a, r'\bid="([^"]*)"', 1))
     d = rendered.select("book", "chapter", F.posexplode(cut).alias("i", "part"), ids.alias("ids")).where("i > 0")
     d = d.select("book", "chapter", C("i").cast("int").alias("i"), F.get("ids", C("i") - 1).alias("anchor"), T.trim_page(T.html_text(T.note_refs(C("part")))).alias("text"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chapters  # noqa: F401
+from . import chapters, refinery  # noqa: F401
 from .queries import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]

@@ -179,8 +179,7 @@ def k1(t):
 # Typography
 
 
-@query("t6_broken_words", r"""WITH p AS (SELECT page_id, unnest(list_filter(regexp_extract_all(replace(html, 'n', 'n- '), '<[^>]*>?|[^<]+'), lambda s: NOT starts_with(s, '<'))) AS s FROM pages),
-m AS (SELECT DISTINCT page_id, unnest(regexp_extract_all(s, '\b([A-Za-z]{3,})- ([a-z]{2,})\b')) AS m FROM p) SELECT page_id, split_part(m, '- ', 1) AS a, split_part(m, '- ', 2) AS b, lower(replace(m, '- ', '')) AS joined FROM m""")
+@query("t6_broken_words")
 def t6_pairs(t):
     return typography.broken_words(broken(t), "page_id", "html")
 
