@@ -12,6 +12,7 @@ from ..functions import noise, text
 from ..operators import lines, overlap
 from ..sources import tables
 from ..sources.tables import BOXES_SQL, LINES_SQL
+from . import fixtures
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -91,10 +92,10 @@ CONF = "coalesce(CASE WHEN conf > 0 AND conf <= 1 THEN conf * 100 ELSE conf END,
 # Predicates and scalar functions
 
 
-@query("f1_rtl_dominant", f"WITH {PICKED} SELECT pno, seq, {AR} >= 2 AND {AR} >= {LATIN} * 0.8 AS rtl, CAST({AR} AS BIGINT) AS ar, CAST({LATIN} AS BIGINT) AS latin FROM picked")
+@query("f1_rtl_dominant", f"WITH {fixtures.TEXTS_SQL}, n AS (SELECT id, len(regexp_extract_all(text, '[\\x{{600}}-\\x{{6ff}}\\x{{fb50}}-\\x{{fdff}}\\x{{fe70}}-\\x{{feff}}]')) AS ar, len(regexp_extract_all(text, '[A-Za-z]')) AS latin FROM texts) SELECT id, ar >= 2 AND ar >= latin * 0.8 AS rtl, CAST(ar AS BIGINT) AS ar, CAST(latin AS BIGINT) AS latin FROM n")
 def f1(t):
     x = C("text")
-    return t.picked.select("pno", "seq", text.rtl_dominant(x).alias("rtl"), long(text.rtl_chars(x)).alias("ar"), long(text.latin_chars(x)).alias("latin"))
+    return fixtures.texts(t).select("id", text.rtl_dominant(x).alias("rtl"), long(text.rtl_chars(x)).alias("ar"), long(text.latin_chars(x)).alias("latin"))
 
 
 @query("f2_geometric_artifact", f"WITH {BOXES_SQL} SELECT pno, seq FROM boxes WHERE x1 > x0 AND y1 > y0 AND ((y1 - y0 > x1 - x0 AND x1 - x0 < 40) OR (x1 - x0 < (y1 - y0) * 0.5 AND x1 - x0 < 60))")
@@ -246,12 +247,14 @@ def f22(t):
     return t.words.where(noise.plausible_english(C("word"))).groupBy("doc_id").agg(F.count(F.lit(1)).alias("plausible"))
 
 
-SCRIPT = "CASE " + " ".join(f"WHEN {has(p, 'text')} THEN '{tag}'" for tag, p in text.SCRIPTS) + " END"
-
-
-@query("t1_detect_script", f"WITH {PICKED} SELECT pno, seq, {SCRIPT} AS script FROM picked")
+@query(
+    "t1_detect_script",
+    f"WITH {fixtures.TEXTS_SQL} SELECT id, CASE WHEN regexp_matches(text, '[\\x{{679}}\\x{{688}}\\x{{6d2}}\\x{{691}}\\x{{6ba}}]') THEN 'ur' WHEN regexp_matches(text, '[\\x{{67e}}\\x{{686}}\\x{{698}}\\x{{6af}}\\x{{6a9}}\\x{{6cc}}]') THEN 'fa' "
+    "WHEN regexp_matches(text, '[\\x{600}-\\x{6ff}\\x{fb50}-\\x{fdff}\\x{fe70}-\\x{feff}]') THEN 'ar' WHEN regexp_matches(text, '[\\x{590}-\\x{5ff}\\x{fb1d}-\\x{fb4f}]') THEN 'he' WHEN regexp_matches(text, '[\\x{370}-\\x{3ff}\\x{1f00}-\\x{1fff}]') THEN 'el' "
+    "WHEN regexp_matches(text, '[\\x{900}-\\x{97f}]') THEN 'hi' WHEN regexp_matches(text, '[\\x{4e00}-\\x{9fff}]') THEN 'zh' WHEN regexp_matches(text, '[\\x{400}-\\x{4ff}]') THEN 'ru' END AS script FROM texts",
+)
 def t1(t):
-    return t.picked.select("pno", "seq", text.detect_script(C("text")).alias("script"))
+    return fixtures.texts(t).select("id", text.detect_script(C("text")).alias("script"))
 
 
 P = "lower(split_part(tag, '-', 1))"
@@ -297,9 +300,9 @@ def t17(t):
     return t.words.select("word").distinct().withColumn("norm", text.normalize_translit(C("word")))
 
 
-@query("t18_strip_marks", rf"WITH {PICKED} SELECT pno, seq, translate(regexp_replace(text, '[\x{{610}}-\x{{61a}}\x{{64b}}-\x{{65f}}\x{{670}}\x{{6d6}}-\x{{6ed}}]', '', 'g'), 'ٱآأإىة', 'اااايه') AS bare FROM picked")
+@query("t18_strip_marks", f"WITH {fixtures.TEXTS_SQL} SELECT id, translate(regexp_replace(text, '[\\x{{610}}-\\x{{61a}}\\x{{64b}}-\\x{{65f}}\\x{{670}}\\x{{6d6}}-\\x{{6ed}}]', '', 'g'), 'ٱآأإىة', 'اااايه') AS bare FROM texts")
 def t18(t):
-    return t.picked.select("pno", "seq", text.strip_diacritics(C("text")).alias("bare"))
+    return fixtures.texts(t).select("id", text.strip_diacritics(C("text")).alias("bare"))
 
 
 @query("t28_escape_html", "SELECT doc_id, replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') AS text FROM documents")
