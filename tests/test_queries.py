@@ -7,7 +7,7 @@ import os
 import duckdb
 import pytest
 
-from palimpsest.plans.queries import QUERIES, SQL
+from palimpsest.plans.catalog import QUERIES, SQL
 
 
 @pytest.fixture(scope="module")
