@@ -163,10 +163,10 @@ def k3(t):
     "k2_manifest",
     f"WITH RECURSIVE {CHAPTERS}, c AS (SELECT DISTINCT book, chapter, slug FROM assembled WHERE NOT consumed), n AS (SELECT *, row_number() OVER (PARTITION BY book ORDER BY chapter) AS k FROM c), "
     "f AS (SELECT * FROM (VALUES (0, 'cover-image', 'images/cover.jpg', NULL), (1, 'cover-html', 'text/cover.xhtml', 0), (2, 'titlepage', 'text/titlepage.xhtml', 1), (3, 'nav', 'nav.xhtml', NULL), (4, 'css', 'styles/book.css', NULL)) AS v(ord, id, href, spine)) "
-    "SELECT doc_id AS book, CAST(ord AS INTEGER) AS ord, id, href, CAST(spine AS INTEGER) AS spine FROM documents, f UNION ALL SELECT book, CAST(k + 4 AS INTEGER), slug, 'text/' || slug || '.xhtml', CAST(k + 1 AS INTEGER) FROM n",
+    "SELECT doc_id AS book, CAST(ord AS INTEGER) AS ord, id, href, CAST(coalesce(spine, -1) AS INTEGER) AS spine FROM documents, f UNION ALL SELECT book, CAST(k + 4 AS INTEGER), slug, 'text/' || slug || '.xhtml', CAST(k + 1 AS INTEGER) FROM n",
 )
 def k2(t):
-    return epub.manifest(rendered(t).select("book", "chapter", "slug"), books(t)).drop("media_type")
+    return epub.manifest(rendered(t).select("book", "chapter", "slug"), books(t)).drop("media_type").withColumn("spine", F.coalesce("spine", F.lit(-1)))
 
 
 @query("k1_epub_archives")

@@ -109,9 +109,9 @@ zone AS (SELECT pno, coalesce(min(CASE WHEN y >= 420 AND lead_size < body_size *
 )
 
 
-@query("a13_note_zone", f"WITH {S}, {X.PAGES_SQL}, {BODY}, {ZONE} SELECT pno, first FROM zone")
+@query("a13_note_zone", f"WITH {S}, {X.PAGES_SQL}, {BODY}, {ZONE} SELECT pno, coalesce(first, -1) AS first FROM zone")
 def a13(t):
-    return P.note_zone(P.cook_lines(X.spans(t), X.span_pages(t)), P.body_size(X.spans(t), X.span_pages(t))).select("pno", long(C("first")).alias("first"))
+    return P.note_zone(P.cook_lines(X.spans(t), X.span_pages(t)), P.body_size(X.spans(t), X.span_pages(t))).select("pno", long(F.coalesce("first", F.lit(-1))).alias("first"))
 
 
 @query("s2_cooked_pages", f"WITH {S}, {X.PAGES_SQL}, {BODY}, {ZONE}, n AS (SELECT pno, count(*) FILTER (first IS NULL OR rank < first) AS n_body, count(*) FILTER (rank >= first) AS n_notes FROM cooked LEFT JOIN zone USING (pno) WHERE text != '' GROUP BY pno) "
@@ -120,9 +120,9 @@ def s2_pages(t):
     return P.cook_pages(X.spans(t), X.span_pages(t)).select("pno", "body_size", "header", "n_body", "n_notes")
 
 
-@query("s11_text_layer", f"WITH {X.BOXES_SQL}, {X.PAGES_SQL} SELECT pno, width, height, 0 AS lines, NULL AS error FROM span_pages")
+@query("s11_text_layer", f"WITH {X.BOXES_SQL}, {X.PAGES_SQL} SELECT pno, width, height, 0 AS lines FROM span_pages")
 def s11(t):
-    return engines.get_engine("PDF")(X.span_pages(t)).select("pno", "width", "height", (F.size("en_lines") + F.size("ar_lines")).alias("lines"), "error")
+    return engines.get_engine("PDF")(X.span_pages(t)).select("pno", "width", "height", (F.size("en_lines") + F.size("ar_lines")).alias("lines"))
 
 
 @query("a4_page_mode_size", f"WITH {S}, q AS (SELECT pno, round_even(size * 4, 0) / 4 AS q, span_no FROM spans WHERE y0 < 420), c AS (SELECT pno, q, count(*) AS n, min(span_no) AS seen FROM q WHERE q BETWEEN 9.5 AND 14 GROUP BY pno, q), "
@@ -375,9 +375,9 @@ def f23(t):
     return R.corrections(_answers(t)).select("book", "pno", C("i").cast("int").alias("i"), "find", "replace", "confidence")
 
 
-@query("t33_responses", "SELECT conv_id AS book, turn AS pno, CASE WHEN turn % 4 = 3 THEN 'not an object' END AS error, CASE WHEN turn % 4 != 3 THEN 7 END AS proposals FROM conversations")
+@query("t33_responses", "SELECT conv_id AS book, turn AS pno, CASE WHEN turn % 4 = 3 THEN 'not an object' END AS error, CASE WHEN turn % 4 != 3 THEN 7 ELSE -1 END AS proposals FROM conversations")
 def t33(t):
-    return _answers(t).select("book", "pno", R.parsed(C("body")).alias("p")).select("book", "pno", "p.error", F.when(C("p.items").isNotNull(), F.size("p.items")).alias("proposals"))
+    return _answers(t).select("book", "pno", R.parsed(C("body")).alias("p")).select("book", "pno", "p.error", F.when(C("p.items").isNotNull(), F.size("p.items")).otherwise(-1).alias("proposals"))
 
 
 @query("f24_selected_pages", "SELECT conv_id, turn FROM conversations WHERE turn = 0 OR turn BETWEEN 2 AND 4")
