@@ -39,7 +39,7 @@ def lookup(words: DataFrame, vocabulary: DataFrame, key: str = "word") -> DataFr
     return _first_hit(words, key, norm_tries(C(key)), vocabulary)
 
 
-RELAXED = (("r", "t"), ("t", "r"), ("c", "e"), ("e", "c"), ("g", "j"), ("j", "g"))
+RELAXED = tuple(zip("rtcegj", "trecjg", strict=True))
 
 
 def lookup_relaxed(words: DataFrame, vocabulary: DataFrame, key: str = "word") -> DataFrame:
@@ -51,8 +51,8 @@ def lookup_relaxed(words: DataFrame, vocabulary: DataFrame, key: str = "word") -
     return _first_hit(words, key, F.concat(*tries), vocabulary)
 
 
-SLIPS = (("g", "q"), ("q", "g"), ("r", "t"), ("t", "r"), ("b", "h"), ("h", "b"), ("c", "e"), ("e", "c"), ("j", "g"), ("g", "j"))
-KNOWN_SLIPS = {"migat": "miqat", "migar": "miqat", "migas": "miqat", "mubrim": "muhrim", "ibram": "ihram", "tagsir": "taqsir", "ragat": "rakat"}
+SLIPS = tuple(zip("bcegghjqrt", "hecjqbggtr", strict=True))
+KNOWN_SLIPS = dict(x.split(":") for x in "ibram:ihram migar:miqat migas:miqat migat:miqat mubrim:muhrim ragat:rakat tagsir:taqsir".split())
 
 
 def _slipped(norm: Column) -> Column:
@@ -96,10 +96,10 @@ def correct_transliterations(words: DataFrame, vocabulary: DataFrame, preferred:
 
 # Learned names
 
-NAME = r"\b(?!See\b)[A-Z][A-Za-z'’-]{1,}(?:\s+(?:al-|Al-)?[A-Z][A-Za-z'’-]{1,}){1,3}\b"
-STOPS = "A An And As At But By For From If In Into It Its Of On Or So That The Then This To When Where While With His Her My Our Their Your".split()
-OWNERS = "his her my our their your".split()
-MARKERS = ["ibn", "bin", "bint", "abu", "abi", "abd", "al", "ali", "muhammad", "mohammad", "ja'far", "jafar", "husayn", "hussain", "hasan"]
+NAME = r"\b(?!See\b)[A-Z]['’A-Za-z-]+(?:\s+(?:[Aa]l-)?[A-Z]['’A-Za-z-]+){1,3}\b"
+STOPS = "A An As At By If In It My Of On Or So To And But For Her His Its Our The From Into That Then This When With Your Their Where While".split()
+OWNERS = "her his my our their your".split()
+MARKERS = "abd abi abu al ali bin bint hasan husayn hussain ibn ja'far jafar mohammad muhammad".split()
 
 
 def name_words(phrase: Column) -> Column:

@@ -133,9 +133,9 @@ def empty_envelopes(pages: DataFrame) -> DataFrame:
 
 # Kinds of pages: lines (book, pno, line_no, text, x0, x1) and the page width
 
-IMPRINT = ["ISBN", "Copyright", "Printed", "Printing", "Foundation", "www."]
-FOOTER = ["Foundation", "Cooperation", "IslamIFC"]
-CREDITS = ["Edited by", "Editor", "Editors", "Translated by", "Translator", "Revised by", "Researched by", "Compiled by", "Foreword by", "Introduction by", "Edited and translated by"]
+IMPRINT = "Copyright|Foundation|ISBN|Printed|Printing|www.".split("|")
+FOOTER = "Cooperation|Foundation|IslamIFC".split("|")
+CREDITS = "Compiled by|Edited and translated by|Edited by|Editor|Editors|Foreword by|Introduction by|Researched by|Revised by|Translated by|Translator".split("|")
 
 
 def page_kinds(lines: DataFrame, pages: DataFrame) -> DataFrame:

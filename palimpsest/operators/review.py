@@ -167,11 +167,11 @@ def link_findings(files: DataFrame) -> DataFrame:
 
 
 SUSPECTS = (
-    ("question/exclamation-shaped footnote marker", r"\b[A-Za-z][A-Za-z\-]*(?:\))?(?:\.{1,3}|[,;:!])[?!](?:\s|$)|\b[A-Za-z][A-Za-z\-]*\?(?=\s+[a-z])"),
-    ("common OCR typo", r"(?i)\b(?:che|bur|chis|dury)\b"),
-    ("transliteration OCR variant", r"(?i)\b(?:migat|migar|migas|mubrim|ibram|tagsir)\b"),
-    ("inline script read as Latin", r"\b(?:ug|jes|f'es|jo|jé)\b"),
-    ("quote-shaped footnote marker", r"\b[A-Za-z][A-Za-z\-]*[,;:]?['’]\s+[A-Z]"),
+    ("question/exclamation-shaped footnote marker", r"\b[A-Za-z][A-Za-z-]*(?:\)?(?:\.{1,3}|[!,:;])[!?](?:$|\s)|\?(?=\s+[a-z]))"),
+    ("common OCR typo", r"(?i)\b(?:bur|che|chis|dury)\b"),
+    ("transliteration OCR variant", r"(?i)\b(?:ibram|mi(?:gar|gas|gat)|mubrim|tagsir)\b"),
+    ("inline script read as Latin", r"\b(?:f'es|jes|jo|jé|ug)\b"),
+    ("quote-shaped footnote marker", r"\b[A-Za-z][A-Za-z-]*[,:;]?['’]\s+[A-Z]"),
 )
 
 
