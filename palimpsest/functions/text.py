@@ -223,7 +223,7 @@ def note_refs(html: Column) -> Column:
 
 
 ENTITIES = {"&amp;": "&", "&lt;": "<", "&gt;": ">", "&quot;": '"', "&apos;": "'", "&#x27;": "'", "&nbsp;": NBSP}
-_HTML_PART = re.compile("(<[^>]*>?|>)|(" + "|".join(map(re.escape, ENTITIES)) + ")|&#(x?)([0-9a-fA-F]+);")
+HTML_PART = re.compile("(<[^>]*>?|>)|(" + "|".join(map(re.escape, ENTITIES)) + ")|&#(x?)([0-9a-fA-F]+);")
 
 
 def _numeric(x: str, digits: str) -> str:
@@ -235,16 +235,21 @@ def _numeric(x: str, digits: str) -> str:
     return chr(code) if code < 0xD800 or 0xDFFF < code < 0x110000 else "?"
 
 
+def decoded(m: re.Match[str]) -> str:
+    """The character of an entity that HTML_PART found."""
+    return ENTITIES[m[2]] if m[2] else _numeric(m[3], m[4])
+
+
 def plain_of_html(html: str) -> tuple[str, list[int]]:
     """Text of HTML, and for each of its characters the place in the HTML (from 0) where what made it begins."""
     out: list[str] = []
     places: list[int] = []
     at = 0
-    for m in _HTML_PART.finditer(html):
+    for m in HTML_PART.finditer(html):
         out.append(html[at : m.start()])
         places.extend(range(at, m.start()))
         if not m[1]:
-            out.append(ENTITIES[m[2]] if m[2] else _numeric(m[3], m[4]))
+            out.append(decoded(m))
             places.append(m.start())
         at = m.end()
     out.append(html[at:])

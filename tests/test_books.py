@@ -297,3 +297,39 @@ def test_streams(spark, tmp_path):
     q.awaitTermination(120)
     got = {r["pno"]: r["error"] for r in streaming.latest_pages(spark, str(tmp_path / "out")).collect()}
     assert got == {1: None, 2: None}
+
+
+def fixed_by_loop(html, fixes):
+    """fix_all without note marks, the plain text made anew for each change."""
+    from palimpsest.functions import text
+
+    counts = [0] * len(fixes)
+    for _ in range(typography.PASSES):
+        for i, (find, put) in enumerate(fixes):
+            for _ in range(typography.MOST_FIXES):
+                plain, places = text.plain_of_html(html)
+                at = plain.find(find)
+                if at < 0:
+                    break
+                end = places[at + len(find) - 1]
+                entity = re.compile("&[#a-zA-Z0-9]+;").match(html, end)
+                end = entity.end() if entity else end + 1
+                new = html[: places[at]] + put + html[end:]
+                if set("<>") & set(html[places[at] : end]) or new == html:
+                    break
+                html, counts[i] = new, counts[i] + 1
+    return html, counts
+
+
+def test_fixes_read_only_what_changes():
+    import random
+    import time
+
+    r = random.Random(3)
+    for _ in range(400):
+        html = "".join(r.choice(["the", "a", "&", "&am", "p;", "&amp;", "&#6", "5;", "<b>", "</b>", "<", ">", " ", "lt;", "z" * 40]) for _ in range(r.randint(1, 40)))
+        fixes = [(r.choice(["the", "a", "&", "<", "A", "p;", "a "]), r.choice(["thee", "", "&", "a", "<b>", "p;", "5;", "&lt;"])) for _ in range(3)]
+        assert typography.fix_all(html, fixes) == fixed_by_loop(html, fixes)
+    page, began = "<p>the " + "some words &amp; more</p><p>" * 40_000, time.time()
+    html, counts = typography.fix_all(page, [("the", "thee"), ("of &", "of and")])
+    assert counts == [200, 0] and html.startswith("<p>th" + "e" * 201 + " some") and time.time() - began < 20
