@@ -333,3 +333,10 @@ def test_fixes_read_only_what_changes():
     page, began = "<p>the " + "some words &amp; more</p><p>" * 40_000, time.time()
     html, counts = typography.fix_all(page, [("the", "thee"), ("of &", "of and")])
     assert counts == [200, 0] and html.startswith("<p>th" + "e" * 201 + " some") and time.time() - began < 20
+
+
+def test_repair_applies_fixes_once(spark):
+    d = spark.createDataFrame([(1, "<p>the man- ual</p>"), (2, None)], "k int, h string")
+    done = typography.repair(d, "k", "h", spark.createDataFrame([("manual",)], "word string"), [("the", "a")])
+    assert "run(" not in done._jdf.queryExecution().executedPlan().toString()
+    assert {r["k"]: (r["h"], r["fix_counts"]) for r in done.collect()} == {1: ("<p>a manual</p>", [1]), 2: (None, None)}
