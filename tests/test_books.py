@@ -340,3 +340,10 @@ def test_repair_applies_fixes_once(spark):
     done = typography.repair(d, "k", "h", spark.createDataFrame([("manual",)], "word string"), [("the", "a")])
     assert "run(" not in done._jdf.queryExecution().executedPlan().toString()
     assert {r["k"]: (r["h"], r["fix_counts"]) for r in done.collect()} == {1: ("<p>a manual</p>", [1]), 2: (None, None)}
+
+
+def test_report_reads_once(spark):
+    d = spark.createDataFrame([("<p>good <em>old</em> text</p>", [1, 0, 0]), (None, None), ("text", [2, 0, 0])], "h string, fix_counts array<int>")
+    done = typography.report(d, "h", [("text", "words"), ("good old", "x"), ("absent", "y")])
+    assert done._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD") == 2
+    assert sorted(map(tuple, done.collect())) == [("absent", 0, "no_op"), ("good old", 0, "tag_skipped"), ("text", 3, "applied")]
