@@ -347,3 +347,23 @@ def test_report_reads_once(spark):
     done = typography.report(d, "h", [("text", "words"), ("good old", "x"), ("absent", "y")])
     assert done._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD") == 2
     assert sorted(map(tuple, done.collect())) == [("absent", 0, "no_op"), ("good old", 0, "tag_skipped"), ("text", 3, "applied")]
+
+
+def test_runs_by_the_former_patterns(spark):
+    """The same as four plain patterns give, without trying each letter of a text that has no run."""
+    import random
+
+    from pyspark.sql import functions as F
+
+    r = random.Random(4)
+    rows = []
+    for i in range(600):
+        w, sep = r.choice(["a", "ab", "'é", "—", "ا", "a" * 30, "a" * 31, "1", ".", '"', "\x0b"]), r.choice([[" "], [" ", "\t", "  "], ["", " "], [""]])
+        rows.append((i, r.choice(["", "x", " "]) + "".join((w if r.random() < 0.97 else "b") + r.choice(sep) for _ in range(r.choice([7, 9, 10, 12, 14, 30]))) + r.choice(["", "a", "the then"])))
+    d = spark.createDataFrame([*rows, (-1, None), (-2, "")], "i int, t string")
+    t = F.regexp_replace("t", r"( ?)([A-Za-z\x{c0}-\x{24f}\x{600}-\x{6ff}'\x{2018}\x{2019}\-]{1,30})(?:[ \t]+\2){9,}+", "$1$2")
+    t = F.regexp_replace(t, r"([^A-Za-z0-9\s<>&.,'\"])\1{7,}", "$1")
+    t = F.regexp_replace(F.regexp_replace(t, r"([.,])\1{7,}", "…"), r"(['\"])\1{7,}", "")
+    new = typography.collapse_runs(F.col("t"))
+    assert d.where(~new.eqNullSafe(t)).count() == 0 and d.where(new != F.col("t")).count() > 100
+    assert "RLIKE" in d.select(new)._jdf.queryExecution().optimizedPlan().toString()
