@@ -259,7 +259,7 @@ def plain_of_html(html: str) -> tuple[str, list[int]]:
 
 def _html_texts(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
     for b in batches:
-        yield pa.array([None if h is None else plain_of_html(h)[0] for h in b.to_pylist()], pa.string())
+        yield pa.array([None if (h := x.as_py()) is None else HTML_PART.sub(lambda m: "" if m[1] else decoded(m), h) for x in b], pa.string())
 
 
 def _html_plains(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:

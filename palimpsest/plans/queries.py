@@ -28,6 +28,7 @@ PAGE_LINES = LINES_SQL + ",\nplaced AS (SELECT *, CAST(line_no * 12 + 50 AS DOUB
 class Tables:
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder
+        tables.bounded(spark)
 
     def __getattr__(self, name: str) -> DataFrame:
         return tables.table(self.spark, self.folder, name)

@@ -7,6 +7,17 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
+#: Rows and bytes of an Arrow batch, each with Spark's default and ours.
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "500"), "spark.sql.execution.arrow.maxBytesPerBatch": (None, str(4 << 20))}
+
+
+def bounded(spark: SparkSession) -> None:
+    """Bound the batches that Python gets, for the rest of the session: 10,000 pages or books at a time fill an executor. Values that the caller has set stay."""
+    for key, (usual, ours) in BATCH.items():
+        if spark.conf.get(key, usual) == usual:
+            spark.conf.set(key, ours)
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """A Parquet table of a folder; timestamps without zone are read as UTC instants."""
     df = spark.read.parquet(f"{folder}/{name}.parquet")
