@@ -14,6 +14,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..operators import book as B
 
 C = F.col
 MIME = "application/epub+zip"
@@ -31,6 +32,13 @@ def page_list(rendered: DataFrame) -> DataFrame:
     return d.select("book", "printed", F.concat(F.lit("text/"), "f.slug", F.lit(".xhtml#page-"), "f.id").alias("href"), C("f.label").alias("label"))
 
 
+def printed_pages(assembled: DataFrame) -> DataFrame:
+    """page_list of what operators.book.render makes of assembled elements, without rendering: its anchors are the page breaks."""
+    d = B.page_breaks(assembled, "slug", "printed").where("printed is not null")
+    d = d.where(C("anchor").rlike("^page-[0-9]+$")).groupBy("book", "printed").agg(F.min(F.struct("chapter", "pno", "seq", "slug", "anchor")).alias("f"))
+    return d.select("book", C("printed").cast("long").alias("printed"), F.concat(F.lit("text/"), "f.slug", F.lit(".xhtml#"), "f.anchor").alias("href"), F.substring_index("f.anchor", "-", -1).alias("label"))
+
+
 def _list(order: str, s: Column) -> Column:
     """s of all rows, a line each, in order."""
     return F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, s.alias("s")))), lambda x: x.s), "\n")

@@ -367,3 +367,16 @@ def test_runs_by_the_former_patterns(spark):
     new = typography.collapse_runs(F.col("t"))
     assert d.where(~new.eqNullSafe(t)).count() == 0 and d.where(new != F.col("t")).count() > 100
     assert "RLIKE" in d.select(new)._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_page_list_and_chapters_without_rendering(spark, sf, monkeypatch):
+    from palimpsest.operators import book as B
+    from palimpsest.plans import chapters, queries
+    from palimpsest.sinks import epub
+
+    t = queries.Tables(spark, sf)
+    rendered = chapters.rendered(t)
+    want = [sorted(map(tuple, d.collect())) for d in (epub.page_list(rendered), rendered.select("book", "chapter", "slug"))]
+    monkeypatch.setattr(B, "render", None)
+    assert sorted(map(tuple, queries.QUERIES["k3_page_list"](spark, sf).collect())) == want[0] and want[0]
+    assert queries.QUERIES["k2_manifest"](spark, sf).where("ord >= 5").count() == len(want[1])
