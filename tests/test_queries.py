@@ -139,3 +139,16 @@ def test_cooked_pages_shuffle_spans_once(spark, sf):
     n = n.agg(F.count_if(F.col("first").isNull() | (F.col("rank") < F.col("first"))).alias("n_body"), F.count_if(F.col("rank") >= F.col("first")).alias("n_notes"))
     want = sizes.join(P.headers(spans).drop("rank"), P.PAGE, "left").join(n, P.PAGE, "left").fillna(0, ["n_body", "n_notes"]).select(got.columns)
     assert sorted(map(repr, got.collect())) == sorted(map(repr, want.collect()))
+
+
+def test_texts_meet_their_candidates_once(spark):
+    from palimpsest.operators import corrections as K
+
+    verses = spark.createDataFrame([(1, a, "كتب قلم دار نور " + w) for a, w in enumerate(["بحر", "جبل", "نهر"], 1)], "s int, a int, text string")
+    texts = spark.createDataFrame([(1, "كتب قلم دار نور جبل"), (2, "كتب قلم دار نور"), (3, "دار نور بحر"), (4, "شمس قمر نجم")], "k int, text string")
+    got = K.by_anchor(texts, ["k"], verses)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("ArrowEvalPython") < plan.index("collect_list")
+    assert sorted((r["k"], r["a"]) for r in got.collect()) == [(1, 2), (2, 1), (3, 1)]
+    cited = spark.createDataFrame([(k, 1, 3) for k in (1, 2, 3, 4)], "k int, s int, a int")
+    assert sorted((r["k"], r["a"]) for r in K.by_citation(texts, ["k"], cited, verses).collect()) == [(1, 2), (2, 1), (3, 1)]
