@@ -156,6 +156,7 @@ def escape_html(text: Column) -> Column:
 
 def format_tags(text: Column) -> Column:
     """Style markers become tags; an opener without its closer goes. Inline script runs get language and direction."""
+    plain = text
     for a, b, open_, close in (("\x02", "\x03", "<em>", "</em>"), ("\x04", "\x05", "<strong>", "</strong>"), ("\x06", "\x07", "<strong><em>", "</em></strong>")):
         text = F.regexp_replace(text, f"{a}([^{b}]*){b}", f"{open_}$1{close}")
         text = F.regexp_replace(text, f"{a}([^{b}]*)$", "$1")
@@ -165,7 +166,7 @@ def format_tags(text: Column) -> Column:
     text = F.regexp_replace(text, f"\x10((?:[^\x11](?!{ur}))*?{ur}[^\x11]*)\x11", rtl % ("ur", "ur", "arabic"))
     text = F.regexp_replace(text, f"\x10([^\x11]*?{fa}[^\x11]*)\x11", rtl % ("fa", "fa", "persian"))
     text = F.regexp_replace(text, f"\x10{inner}\x11", rtl % ("ar", "ar", "arabic"))
-    return F.regexp_replace(text, f"\x10{inner}$", "$1")
+    return F.when(plain.rlike("[\x02\x04\x06\x10]"), F.regexp_replace(text, f"\x10{inner}$", "$1")).otherwise(plain)  # every pattern begins with an opener
 
 
 def ornate_brackets(text: Column, quran: Column) -> Column:

@@ -425,3 +425,14 @@ def test_exports_link_far_and_half_formed_marks(spark):
 def test_rendering_joins_no_texts(spark, assembled):
     plan = book.render(assembled)._jdf.queryExecution().optimizedPlan().toString()
     assert len(re.findall(r"\bJoin\b", plan)) == 3  # notes to marks, twice, and first references to notes
+
+
+def test_texts_without_marks_are_left_alone(spark):
+    texts = ["plain & text", "a \x02b\x03 \x10متن\x11", "open \x04x", "open \x10x", "†1† x\x121:2\x13", "", None]
+    d = spark.createDataFrame([(i, x) for i, x in enumerate(texts)], "i int, t string")
+    got = book.replace_matches(d.withColumn("f", T.format_tags(C("t"))), "o", C("f"), book.PLACEHOLDER, lambda m, i: F.concat(F.lit("["), i.cast("string"), F.lit("]")))
+    rows = {r["i"]: (r["f"], r["o"]) for r in got.collect()}
+    assert [rows[i][0] for i in range(7)] == ["plain & text", 'a <em>b</em> <span lang="ar" xml:lang="ar" dir="rtl" class="arabic-inline">متن</span>', "open x", "open x", "†1† x\x121:2\x13", "", None]
+    assert [rows[i][1] for i in (0, 4, 5, 6)] == ["plain & text", "[0] x\x121:2\x13", "", None]
+    plan = d.select(T.format_tags(C("t")))._jdf.queryExecution().optimizedPlan().toString()
+    assert "CASE WHEN" in plan  # nothing is tried on texts without markers
