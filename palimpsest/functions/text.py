@@ -206,7 +206,8 @@ def normalize_translit(text: Column) -> Column:
     table = F.create_map(*[F.lit(x) for pair in _SEVERAL.items() for x in pair])
     long = F.array_join(F.transform(F.split(text, ""), lambda c: F.coalesce(F.try_element_at(table, c), c)), "")
     some = text.rlike("[" + "".join(_SEVERAL) + "]")
-    t = F.lower(F.translate(F.when(some, long).otherwise(text), "".join(_ONE), "".join(_ONE.values())))
+    plain = F.translate(F.when(some, long).otherwise(text), "".join(_ONE), "".join(_ONE.values()))
+    t = F.lower(F.when(text.rlike("[^\\x00-\\x7f]"), plain).otherwise(text))  # the tables have no ASCII, and their class is slow to try on each letter
     return F.regexp_replace(t, "[^a-z']", "")
 
 

@@ -436,3 +436,40 @@ def test_texts_without_marks_are_left_alone(spark):
     assert [rows[i][1] for i in (0, 4, 5, 6)] == ["plain & text", "[0] x\x121:2\x13", "", None]
     plan = d.select(T.format_tags(C("t")))._jdf.queryExecution().optimizedPlan().toString()
     assert "CASE WHEN" in plan  # nothing is tried on texts without markers
+
+
+def test_exchanges_are_tried_where_they_may_lead(spark):
+    import random
+
+    fold = str.maketrans("hejqt", "bcggr")
+    assert all(a.translate(fold) == b.translate(fold) for a, b in corrections.SLIPS)
+    r = random.Random(3)
+    known = sorted({"".join(r.choices("bcehgjqrtax", k=r.choice([4, 5]))) for _ in range(300)} | set(corrections.KNOWN_SLIPS.values()))
+    words = sorted({"".join(r.choices("bcehgjqrtax", k=r.choice([3, 4, 5]))).capitalize() for _ in range(300)} | set(corrections.KNOWN_SLIPS) | {"".join(dict(corrections.SLIPS).get(c, c) for c in w) for w in known[:150]})
+
+    def once(w):
+        return [w.replace(a, b) for a, b in corrections.SLIPS if a in w]
+
+    def by_loop(word):
+        n = word.lower()
+        fixed = corrections.KNOWN_SLIPS.get(n)
+        if len(n) < 4:
+            return None
+        if fixed in known:
+            return fixed
+        found = {v for one in once(n) for v in [one, *once(one)]} & set(known) - {n}
+        return found.pop() if n not in known and len(found) == 1 else None
+
+    want = {w: t.capitalize() if w[0].isupper() else t for w in words if (t := by_loop(w))}
+    got = corrections.correct_transliterations(spark.createDataFrame([(w,) for w in words], "word string"), spark.createDataFrame([(w,) for w in known], "norm string"))
+    assert want and {x["word"]: x["corrected"] for x in got.collect()} == want
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftSemi" in plan and plan.index("Generate explode") < plan.index("LeftSemi")
+
+
+def test_ascii_words_skip_the_letter_tables(spark):
+    assert not any(c.isascii() for c in "".join(T._ONE) + "".join(T._SEVERAL))
+    cases = {"Miqat's": "miqat's", "A-b 1": "ab", "": "", "ʿAlī ﬁqh": "alifiqh", "Ǎế": "ae", None: None}
+    assert column(spark, list(cases), T.normalize_translit) == list(cases.values())
+    plan = spark.createDataFrame([("a",)], "t string").select(T.normalize_translit(C("t")))._jdf.queryExecution().optimizedPlan().toString()
+    assert "[^\\x00-\\x7f]" in plan
